@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import decontamination, mixing, sharding, url_filter
+from quarrystone.llm import decontamination, mixing, neardup, sharding, url_filter
 from quarrystone.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_mixing": lambda s, d: mixing.mix(table(s, d, "documents")),
         "op6_decontamination": lambda s, d: decontamination.decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
         "op8_url_filter": lambda s, d: url_filter.filter_urls(table(s, d, "pages")),
+        "op10_minhash_neardup": lambda s, d: neardup.near_duplicates(table(s, d, "documents")),
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.SQL,
         "op6_decontamination": decontamination.SQL,
         "op8_url_filter": url_filter.SQL,
+        "op10_minhash_neardup": neardup.SQL,
     }
