@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import decontamination, mixing, neardup, sharding, url_filter
+from quarrystone.llm import decontamination, mixing, neardup, sharding, substring_dedup, url_filter
 from quarrystone.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_sharding": lambda s, d: sharding.shard(table(s, d, "documents")),
         "op3_mixing": lambda s, d: mixing.mix(table(s, d, "documents")),
+        "op5_substring_dedup": lambda s, d: substring_dedup.removed(table(s, d, "documents")),
         "op6_decontamination": lambda s, d: decontamination.decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
         "op8_url_filter": lambda s, d: url_filter.filter_urls(table(s, d, "pages")),
         "op10_minhash_neardup": lambda s, d: neardup.near_duplicates(table(s, d, "documents")),
@@ -26,6 +27,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_sharding": sharding.SQL,
         "op3_mixing": mixing.SQL,
+        "op5_substring_dedup": substring_dedup.SQL,
         "op6_decontamination": decontamination.SQL,
         "op8_url_filter": url_filter.SQL,
         "op10_minhash_neardup": neardup.SQL,
