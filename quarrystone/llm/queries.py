@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import decontamination, mixing, neardup, sharding, substring_dedup, url_filter
+from quarrystone.llm import decontamination, mixing, neardup, sharding, substring_dedup, toxicity, url_filter
 from quarrystone.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op5_substring_dedup": lambda s, d: substring_dedup.removed(table(s, d, "documents")),
         "op6_decontamination": lambda s, d: decontamination.decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
         "op8_url_filter": lambda s, d: url_filter.filter_urls(table(s, d, "pages")),
+        "op9_toxicity": lambda s, d: toxicity.toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op10_minhash_neardup": lambda s, d: neardup.near_duplicates(table(s, d, "documents")),
     }
 
