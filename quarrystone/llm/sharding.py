@@ -45,23 +45,21 @@ def shard(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
 
 
 def sharded_documents(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
-    """The documents with their shard and slot after all their columns (columns of these names are replaced).
+    """The documents with their shard after all their columns (a column of that name is replaced).
 
-    The text moves once, in the join with the places. Only where rows repeat in id, size and checksum
-    are they numbered first, so that each gets a place of its own.
+    Shards are contiguous, so the first row of each is all that a document has to be compared with: no
+    text moves. Rows that repeat in id, size and checksum go to one shard, the last that one of them falls to.
     """
-    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    places = placed(stored(sizes(docs), "shard-sizes"), n_shards)
+    key = lambda i, size, crc: F.struct(i.alias("i"), size.alias("s"), crc.alias("c"))
+    firsts = places.groupBy("shard").agg(F.min(key(known_id(), F.col("size"), F.col("text_crc32"))).alias("k")).orderBy("shard").collect()  # a row for each shard
     text = F.coalesce(F.col("text"), F.lit(""))
-    on = ["_qs_id", "_qs_size", "_qs_crc"]
-    keyed = docs.select(*columns, known_id().alias(on[0]), (F.octet_length(text) + 1).cast("long").alias(on[1]), F.crc32(text.cast("binary")).cast("long").alias(on[2]))
-    narrow = stored(sizes(docs), "shard-sizes")
-    places = placed(narrow, n_shards).select(known_id().alias(on[0]), F.col("size").alias(on[1]), F.col("text_crc32").alias(on[2]), "shard", F.col("slot").cast("long").alias("slot"))
-    if not narrow.groupBy(known_id(), "size", "text_crc32").count().where("count > 1").isEmpty():
-        same = Window.partitionBy(*on)
-        keyed = keyed.withColumn("_qs_k", F.row_number().over(same.orderBy(on[0])))
-        places = places.withColumn("_qs_k", F.row_number().over(same.orderBy("shard", "slot")))
-        on = [*on, "_qs_k"]
-    return keyed.join(places, on, "left").select(*columns, "shard", "slot")
+    own = key(known_id(), (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary")).cast("long"))
+    shard_ = F.lit(0)
+    for r in firsts:
+        shard_ = F.when(own >= key(*(F.lit(v).cast("long") for v in r["k"])), F.lit(r["shard"])).otherwise(shard_)
+    columns = [c for c in docs.columns if c != "shard"]
+    return docs.select(*columns, shard_.cast("int").alias("shard"))
 
 
 def _crc_sql() -> str:
