@@ -25,9 +25,6 @@ ROWS = 3
 #: sets of similarity 0.75 share a value of one collection with probability 1 - (1 - 0.75^3)^14 = 0.9995,
 #: of both with 0.9991; plain banding with keys of six would need 1,176 minhashes for these tables.
 BANDS = 14
-#: A bucket with more members than this outside its largest component isn't paired by bucket: its documents
-#: go through the exact prefix join.
-WIDE = 64
 #: Ids from here on stand for documents without one.
 NAMELESS = 1 << 62
 
@@ -109,32 +106,36 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_pydict({"v": np.full(len(x), v[i]), "n": np.full(len(x), len(x), np.int64), "token": x.view(np.int64)})
 
 
-def _crossing(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For buckets (key, v, n) that hold more than one component: members outside the bucket's largest component, and all members. Any pair across components has a member among the first."""
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (key, v, n) of buckets that hold more than one component, with label."""
     named = rows.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     many = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    members = stored(named.join(many, "key"), "neardup-members")
-    sizes = members.groupBy("key", "label").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("m"), F.sum("size").alias("all")).select("key", F.col("m.label").alias("largest"), (F.col("all") - F.col("m.size")).alias("outside"))
-    members = members.join(largest, "key")
-    return members.where("label <> largest"), members
-
-
-def _across(outside: DataFrame, members: DataFrame) -> DataFrame:
-    x = outside.select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = members.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    near = x.join(y, "key").where(f"la <> lb and 100 * least(na, nb) >= {LINK} * greatest(na, nb)")
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return named.join(many, "key")
 
 
 def prefix_pairs(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every pair of docs (v, text) across components that can link, exactly: sets that link share one of their rarest
-    floor(n * (1 - LINK / 100)) + 1 shingles in any fixed order; rare ones first, common passages aren't among them."""
+    floor(n * (1 - LINK / 100)) + 1 shingles in any fixed order. Rare ones come first: a document that has too many
+    shingles of its own to link with a group has no others among its rarest, and meets nobody.
+
+    A pair across components has a member outside the bucket's largest component, so only those are paired with all.
+    """
     rows = stored(docs.select("v", "text").mapInArrow(_shingle_rows, "v long, n long, token long"), "neardup-shingles")
-    counts = rows.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = rows.join(counts, "token").groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
-    first = ordered.select("v", "n", F.explode(F.expr(f"slice(all, 1, cast(n - (n * {LINK} + 99) div 100 + 1 as int))")).alias("t"))
-    return _across(*_crossing(first.select(F.col("t.token").alias("key"), "v", "n"), labels))
+    counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # Shingles of one document only can't be shared; they still take the first places of the order.
+    ordered = rows.join(counts, "token").groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    places = F.expr(f"greatest(0, n - (n * {LINK} + 99) div 100 + 1 - (n - size(shared)))").cast("int")
+    first = ordered.select("v", "n", (F.col("n") - F.size("shared")).alias("own"), F.posexplode(F.slice("shared", F.lit(1), places)).alias("i", "t"))
+    first = first.select(F.col("t.token").alias("key"), "v", "n", (F.col("n") - F.col("own") - F.col("i")).alias("left"))
+    members = stored(_mixed(first, labels), "neardup-members")
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("m")).select("key", F.col("m.label").alias("largest"))
+    x = members.join(largest, "key").where("label <> largest").select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("left").alias("ra"), F.col("label").alias("la"))
+    y = members.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("left").alias("rb"), F.col("label").alias("lb"))
+    # If the key is the first that a pair shares, it shares no more than either has left from there on.
+    most = "least(ra, rb)"
+    near = x.join(y, "key").where(f"la <> lb and 100 * {most} >= {LINK} * (na + nb - {most})")
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,8 +144,9 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Equal sets are one vertex, named by the smallest id. A value of a collection that no other set has can't be
     part of a shared key, so only shared values are combined into keys. In each bucket every member is
     paired with the member of the smallest id; a member's most frequent such partner is confirmed
-    first, then those of other components, and at last all pairs that cross components in a bucket.
-    So a group of copies costs as many pairs as members, and no link between components is left out.
+    first, then those of other components. Buckets that still hold several components are left to an exact
+    prefix join of their documents. So a group of copies costs as many pairs as members, and no link
+    between components is left out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), F.col("text").cast("string").alias("text"))
     sets = stored(rows.mapInArrow(_sketch, "doc_id long, fp long, n long, digest binary, bands array<long>"), "neardup-sets")
@@ -180,12 +182,9 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not more.isEmpty():
         links = links.union(more)
         labels = components(links, "neardup-2")
-    outside, members = _crossing(keys.select("key", "v", "n"), labels)
-    narrow, wide = f"outside <= {WIDE}", f"outside > {WIDE}"
+    open_ = stored(_mixed(keys.select("key", "v", "n"), labels).select("v").distinct(), "neardup-open")
     tested = rest.union(best.select("a", "b"))
-    found = confirmed(_across(outside.where(narrow), members.where(narrow)).join(tested, ["a", "b"], "left_anti"), texts)
-    if not outside.where(wide).isEmpty():
-        found = found.union(confirmed(prefix_pairs(texts.join(members.where(wide).select("v").distinct(), "v"), labels), texts))
+    found = confirmed(prefix_pairs(texts.join(open_, "v"), labels).join(tested, ["a", "b"], "left_anti"), texts)
     if not found.isEmpty():
         labels = components(links.union(found), "neardup-3")
     return sets, distinct.join(labels, "v", "left").select("digest", F.coalesce("label", "v").alias("component"))

@@ -295,8 +295,8 @@ def test_near_duplicates(spark, sf, docs):
             assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n, component, i == component), i
 
 
-def test_near_duplicates_in_one_large_group(spark, monkeypatch):
-    """Copies whose links make chains, and unlike documents that share most of their words; wide buckets take the exact join."""
+def test_near_duplicates_in_one_large_group(spark):
+    """Copies whose links make chains, and unlike documents that share most of their words."""
     import random
 
     rng = random.Random(3)
@@ -311,9 +311,7 @@ def test_near_duplicates_in_one_large_group(spark, monkeypatch):
         texts[i] = " ".join(base[:200] + [f"u{i}-{j}" for j in range(90)])
     want = {i: c for i, (_, c) in components(texts).items()}
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for wide in (64, 0):
-        monkeypatch.setattr(neardup, "WIDE", wide)
-        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(frame).collect()} == want
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(frame).collect()} == want
 
 
 def test_toxicity_on_held_out_rows(spark):
