@@ -14,12 +14,15 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrystone.plans.registry import query
 from quarrystone.sources.tables import table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+CALLS = T.StructType([T.StructField("kind", T.StringType()), T.StructField("calls", T.ArrayType(T.StringType()))])
+
 
 def parsed(text: str | None):
     """(True, value) of JSON or a Python literal, else (False, None)."""
@@ -68,18 +71,18 @@ def judged(generation: str | None, target: str | None) -> str:
     return "wrong_args" if names(got) == names(wanted) else "wrong_tool"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     return text.map(lambda t: canonical(v) if (v := parsed(t)[1]) is not None else None)
 
 
-@F.pandas_udf("struct<kind:string,calls:array<string>>")
+@F.pandas_udf(CALLS)
 def extract_calls(text: pd.Series) -> pd.DataFrame:
     found = [calls_of(t) for t in text]
     return pd.DataFrame({"kind": [k for k, _ in found], "calls": [c for _, c in found]})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def verdict(generation: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([judged(g, t) for g, t in zip(generation, target, strict=True)])
 
