@@ -24,6 +24,8 @@ UNITS = 8
 #: of their id), of at most so many bytes each.
 TRAIN_EACH, TRAIN_BYTES = 1200, 30_000
 EPOCHS, BATCH, RATE = 10, 128, 0.01
+#: Few labelled rows give few steps an epoch; then there are more epochs, up to the steps that a full sample makes in EPOCHS.
+LEAST_STEPS = 230
 #: How many missed toxic documents a wrongly rejected clean one weighs where the cut is set.
 CLEAN = 4
 #: Windows that are scored at once, few enough for a step's arrays to stay in a core's cache.
@@ -236,7 +238,8 @@ def fitted(rows: list[tuple[bytes, int]], seed: int = 5) -> dict[str, np.ndarray
     mean = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.items() if k != "cut"}
     step = 0
     trigrams = np.diff(np.append(begin, len(tri)))
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // max(1, -(-(3 * int((~test).sum()) // 2) // BATCH))))
+    for epoch in range(epochs):
         if epoch:
             looks = window_logits(net, inputs(net, bucket, tri, begin), ids, start, n)
         order = np.lexsort((looks, doc))
