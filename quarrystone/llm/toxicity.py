@@ -219,6 +219,8 @@ def fitted(rows: list[tuple[bytes, int]], seed: int = 5) -> dict[str, np.ndarray
     """A network fitted to (text, label) rows. A document is as toxic as its worst window: each epoch learns from the
     window that now looks worst in each document, and from one more of each clean document. A fifth of the rows, left out of
     learning, sets the logit at which the score is one half."""
+    # Rows without a word have no window to learn from.
+    rows = [r for r, n in zip(rows, np.diff(W.Words([t for t, _ in rows], W.separators("alnum")).first), strict=True) if n] if rows else rows
     net = new_network(seed)
     if len({y for _, y in rows}) < 2:
         net["cut"] = np.array([1.0, (1 if not rows or not rows[0][1] else -1) * 20.0], np.float32)

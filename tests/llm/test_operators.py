@@ -346,3 +346,8 @@ def test_gradients():
         down = toxicity.forward(net, x, ids, mask).sum()
         net[k][at] = old
         assert grads[k][at] == pytest.approx((up - down) / (2 * e), rel=0.05, abs=1e-3), k
+
+
+def test_labelled_rows_without_words():
+    for rows in ([], [(b"", 1), (b"", 0)], [(b"", 1), (b"a", 0)]):
+        assert (toxicity.score(toxicity.fitted(rows), [None, b"", b"a b c"]) < 0.5).all()
