@@ -49,6 +49,22 @@ def test_greedy_keeps_both_ends_of_a_path(spark):
     assert sorted(r.doc_id for r in similarity.greedy_kept(docs, links).collect()) == [0, 2, 4]
 
 
+def test_greedy_dedup_agrees_with_a_first_kept_loop(spark, tmp_path):
+    """Near copies, and exact copies whose head is a near copy of an earlier document."""
+    base = [f"w{i}" for i in range(60)]
+    varied = lambda k: " ".join("x" if i == k else w for i, w in enumerate(base))
+    texts = [" ".join(base), varied(30), "other words stand here alone today", varied(30), varied(30), varied(10), " ".join(base), varied(10), "", None, varied(50)]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        s = {tuple(w[p : p + 5]) for p in range(len(w) - 4)} if len(w) >= 5 else set(w)
+        if not any(s and k and 10 * len(s & k) >= 7 * len(s | k) for _, k in kept):
+            kept.append((i, s))
+    got = registry.queries()["greedy_dedup"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [i for i, _ in kept]
+
+
 def test_allocation_adds_up(spark):
     got = sampling.allocated(spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "bucket string, n long"), 100).collect()
     assert sorted((r.bucket, r.alloc) for r in got) == [("a", 34), ("b", 33), ("c", 33)]
