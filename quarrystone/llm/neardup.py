@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm import words as W
 from quarrystone.llm.components import components
-from quarrystone.llm.store import ship, stored
+from quarrystone.llm.store import known_id, ship, stored
 
 ship(__name__)
 
@@ -139,7 +139,7 @@ def prefix_pairs(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents' sets (doc_id, n, digest) and, for each distinct set, its component: digest, component (the smallest id).
+    """The documents' sets (doc_id, fp, n, digest) and, for each distinct set, its component: digest, component, id (the smallest id in it, null if none has one).
 
     Equal sets are one vertex, named by the smallest id. A value of a collection that no other set has can't be
     part of a shared key, so only shared values are combined into keys. In each bucket every member is
@@ -152,7 +152,14 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = stored(rows.mapInArrow(_sketch, "doc_id long, fp long, n long, digest binary, bands array<long>"), "neardup-sets")
     own = F.coalesce("doc_id", F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("digest"), 2))
     distinct = sets.where("n > 0").groupBy("digest").agg(F.min(F.struct(own.alias("v"), "fp", "doc_id")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    distinct = stored(distinct.select("digest", "r.v", "r.fp", "r.doc_id", "n", "bands"), "neardup-distinct")
+    distinct = distinct.select("digest", "r.v", "r.fp", "r.doc_id", "n", "bands")
+    repeated = not sets.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeated:
+        # An id of several sets names the first; the others are vertices of their own.
+        first = distinct.groupBy("v").agg(F.min("digest").alias("first"))
+        other = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("digest"), 2)
+        distinct = distinct.join(first, "v").withColumn("v", F.when(F.col("digest") == F.col("first"), F.col("v")).otherwise(other)).drop("first")
+    distinct = stored(distinct, "neardup-distinct")
 
     single = distinct.select("v", "n", F.posexplode("bands").alias("i", "value")).withColumn("key", F.xxhash64("i", "value"))
     shared = single.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
@@ -168,7 +175,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = keys.select("v").distinct().join(distinct.select("v", "fp", "doc_id"), "v")
     text = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_fp"), F.col("text").cast("string").alias("text"))
     texts = wanted.join(text, wanted["doc_id"].eqNullSafe(text["_id"]) & (wanted["fp"] == text["_fp"])).select("v", "text")
-    if not sets.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():  # repeated rows
+    if repeated:
         texts = texts.dropDuplicates(["v"])
     texts = stored(texts, "neardup-texts")
 
@@ -187,7 +194,11 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = confirmed(prefix_pairs(texts.join(open_, "v"), labels).join(tested, ["a", "b"], "left_anti"), texts)
     if not found.isEmpty():
         labels = components(links.union(found), "neardup-3")
-    return sets, distinct.join(labels, "v", "left").select("digest", F.coalesce("label", "v").alias("component"))
+    out = distinct.join(labels, "v", "left").select("digest", "doc_id", F.coalesce("label", "v").alias("component"))
+    if not repeated:
+        return sets, out.select("digest", "component", F.when(F.col("component") < NAMELESS, F.col("component")).alias("id"))
+    out = stored(out, "neardup-components")
+    return sets, out.join(out.groupBy("component").agg(F.min("doc_id").alias("id")), "component").select("digest", "component", "id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -198,14 +209,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     sets, found = linked(docs)
     out = sets.select("doc_id", "n", "digest").join(found, "digest", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("component") < NAMELESS, F.col("component")))
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each component, with their columns."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_qs_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_qs_id"]), "left_anti")
+    """The documents that stay, with their columns: one row of each component, and all rows without words.
+
+    Rows are told apart by id and text: of a component the row of the smallest id stays (one without an id only where
+    none has one), then of the smallest fingerprint, then any one of equal rows.
+    """
+    sets, found = linked(docs)
+    rows = sets.where("n > 0").select(known_id().alias("_qs_id"), F.col("fp").alias("_qs_fp"), "digest")
+    rows = stored(rows.groupBy("_qs_id", "_qs_fp").agg(F.first("digest").alias("digest"), F.count("*").alias("k")), "neardup-rows")
+    first = rows.join(found, "digest").groupBy("component").agg(F.min(F.struct("_qs_id", "_qs_fp", "k")).alias("r"))
+    first = stored(first.select("r.*"), "neardup-first")
+    gone = rows.select("_qs_id", "_qs_fp").join(first, ["_qs_id", "_qs_fp"], "left_anti")
+    same = lambda other: (known_id(docs["doc_id"]) == other["_qs_id"]) & (F.xxhash64(docs["text"]) == other["_qs_fp"])
+    kept = docs.join(gone, same(gone), "left_anti")
+    many = first.where("k > 1").select("_qs_id", "_qs_fp")
+    if many.isEmpty():
+        return kept
+    one = docs.join(many, same(many), "left_semi").withColumn("_qs_id", known_id()).withColumn("_qs_fp", F.xxhash64("text"))
+    return kept.join(many, same(many), "left_anti").unionByName(one.dropDuplicates(["_qs_id", "_qs_fp"]).drop("_qs_id", "_qs_fp"))
 
 
 SQL = r"""

@@ -295,6 +295,26 @@ def test_near_duplicates(spark, sf, docs):
             assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n, component, i == component), i
 
 
+def test_kept_documents_are_told_by_row(spark):
+    """Rows without ids, ids of two texts and repeated rows: one row of each group stays, and none goes for another's sake."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    e, f, g, h = (" ".join(f"{x}{i}" for i in range(40)) for x in "efgh")
+    frame = [
+        (1, a), (None, a), (None, "unique words of a row without an id"), (None, None), (None, ""),
+        (None, b), (None, b), (None, b + " more"),
+        (2, c), (3, c), (3, d),
+        (4, e), (4, e), (4, e),
+        (5, f), (5, f + " more"),
+        (6, g), (6, h), (7, h + " more"), (8, "two words"), (8, None), (8, None),
+    ]
+    got = [(r.doc_id, r.text) for r in neardup.kept_documents(spark.createDataFrame(frame, "doc_id long, text string")).collect()]
+    nameless = {b, b + " more"}
+    assert len([t for i, t in got if i is None and t in nameless]) == 1
+    assert len([t for i, t in got if i == 5]) == 1
+    rest = Counter((i, t) for i, t in got if i != 5 and t not in nameless)
+    assert rest == Counter([(1, a), (None, "unique words of a row without an id"), (None, None), (None, ""), (2, c), (3, d), (4, e), (6, g), (6, h), (8, "two words"), (8, None), (8, None)])
+
+
 def test_near_duplicates_in_one_large_group(spark):
     """Copies whose links make chains, and unlike documents that share most of their words."""
     import random
