@@ -136,19 +136,24 @@ def _finder(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def item_texts(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The items (item, text), nulls replaced, and into how many blocks they go."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    n_bytes = items.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    return items, 1 + int(n_bytes // BLOCK_BYTES)
+
+
 def matched(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     """The columns of keep, n_words, spans (start and end in words of every occurrence of an item's window) and items (ids, sorted as strings), a row for each document.
 
     First the windows' shingles are counted over all documents, then each window is looked for by its
-    rarest. The items of one pass are bounded by BLOCK_BYTES; a larger benchmark takes more passes, whose rows are
-    then joined by document. Null texts have no words; items without words have no windows; a null item_id reads "null".
+    rarest. The items of one pass are bounded by BLOCK_BYTES; a larger benchmark takes more passes, whose hits are
+    then joined with the first pass's rows, so that repeated rows stay. Null texts have no words; items without words have no windows; a null item_id reads "null".
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n_bytes = items.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
-    n_blocks = 1 + int(n_bytes // BLOCK_BYTES)
+    items, n_blocks = item_texts(benchmark)
     texts = docs.select(*keep, F.col("text").cast("string").alias("text"))
     kept = docs.select(*keep).schema
-    out = None
+    passes = []
     for block in range(n_blocks):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
         index = Index(sorted((r[0], r[1].encode()) for r in own.collect()))
@@ -159,10 +164,23 @@ def matched(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_words long, spans array<struct<s:int,e:int>>, items array<string>"
         found = texts.mapInArrow(_finder(index), schema)
         found = stored(found, "decontaminate-block") if n_blocks > 1 else found
-        out = found if out is None else out.unionByName(found)
-    if n_blocks > 1:
-        out = out.groupBy(*keep).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return out
+        passes.append(found)
+    if n_blocks == 1:
+        return passes[0]
+    hits = None
+    for found in passes:
+        # Equal rows have equal hits, so one of each is enough.
+        own = found.where(F.size("spans") > 0).groupBy(*keep).agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+        hits = own if hits is None else hits.unionByName(own)
+    joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    hits = hits.groupBy(*(F.col(c).alias(f"_h{i}") for i, c in enumerate(keep))).agg(joined("spans").alias("spans"), joined("items").alias("items"))
+    rows = passes[0].drop("spans", "items")
+    same = F.lit(True)
+    for i, c in enumerate(keep):
+        same = same & rows[c].eqNullSafe(hits[f"_h{i}"])
+    schema = {f.name: f.dataType for f in hits.schema}
+    none = lambda c: F.coalesce(c, F.array().cast(schema[c])).alias(c)
+    return rows.join(hits, same, "left").select(*keep, "n_words", none("spans"), none("items"))
 
 
 def hit_words() -> Column:
@@ -192,8 +210,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A benchmark of one block is screened in the scan itself; hits of a larger one are told by id and fingerprint.
     """
-    n_bytes = benchmark.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
-    if n_bytes < BLOCK_BYTES:
+    if item_texts(benchmark)[1] == 1:
         # Numbered names keep extra columns clear of the operator's own.
         short = [f"c{i}" for i in range(len(docs.columns))]
         renamed = docs.select(*(docs[c].alias(s) for c, s in zip(docs.columns, short, strict=True)), docs["text"].alias("text"))

@@ -227,6 +227,16 @@ def test_decontamination(spark, docs, monkeypatch):
         assert {r.doc_id for r in decontamination.clean_documents(docs, bench).collect()} == {i for i in TEXTS if not got[i].contaminated}
 
 
+def test_decontamination_keeps_repeated_rows(spark, odd, monkeypatch):
+    """As many rows with a benchmark of many blocks as with one of one block."""
+    bench = spark.createDataFrame([(1, "two THREE, four"), (2, " ".join(f"p{i}" for i in range(20, 45))), (3, None), (4, "no id here"), (5, "short")], "item_id long, text string")
+    got = []
+    for limit in (8 << 20, 60):
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", limit)
+        got.append((Counter(map(tuple, decontamination.decontaminate(odd, bench).collect())), decontamination.clean_documents(odd, bench).count()))
+    assert got[0] == got[1] and got[1][0].total() == odd.count()
+
+
 def test_quality_measures(spark, sf, docs):
     for frame, texts in ((docs, TEXTS), (table(spark, sf, "documents"), dict(small(spark, sf)))):
         got = by_id(quality.quality(frame))
