@@ -49,6 +49,16 @@ def test_greedy_keeps_both_ends_of_a_path(spark):
     assert sorted(r.doc_id for r in similarity.greedy_kept(docs, links).collect()) == [0, 2, 4]
 
 
+@pytest.mark.parametrize(("n", "gathered"), [(450, 50_000), (12, 0)])
+def test_greedy_settles_long_chains(spark, monkeypatch, n, gathered):
+    from quarrystone.plans.shared import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    monkeypatch.setattr(similarity, "GATHERED", gathered, raising=False)
+    links = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    assert sorted(r.id for r in similarity.greedy_kept(spark.range(n), links, "id").collect()) == list(range(0, n, 2))
+
+
 def test_greedy_dedup_agrees_with_a_first_kept_loop(spark, tmp_path):
     """Near copies, and exact copies whose head is a near copy of an earlier document."""
     base = [f"w{i}" for i in range(60)]
