@@ -1,8 +1,14 @@
-"""Benchmark decontamination: a prefix-filtered join of item windows with documents."""
+"""Benchmark decontamination: a prefix-filtered join of item windows with documents.
+
+Windows are taken as sequences of shingles. Shingles are counted over all documents; a window is found by its rarest one, the
+necessary prefix of an exact containment. A scan emits the places of documents that hold such a shingle, with the words around
+them; a join on the shingle, bounds on length and position, and a comparison of the words decide. However large the
+benchmark, documents are read twice, and no item comes to the driver.
+"""
 
 from __future__ import annotations
 
-from collections import defaultdict
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm import words as W
-from quarrystone.llm.store import ship, stored
+from quarrystone.llm.hot import split_join
+from quarrystone.llm.store import known_id, ship, stored
 
 ship(__name__)
 
@@ -19,168 +26,148 @@ ship(__name__)
 WINDOW = 10
 #: Words of a shingle; a window of fewer words is one shingle.
 SHINGLE = 3
-#: Bytes of item texts that one pass over the documents looks for. A larger benchmark is split into blocks, a pass for each.
-BLOCK_BYTES = 8 << 20
-#: Slots of the table that tells most absent shingles apart at once.
-SLOTS = 1 << 22
-
-
-class Index:
-    """The windows of one block of items, found by one shingle each."""
-
-    def __init__(self, items: list[tuple[str, bytes]]):
-        read = W.Words([t for _, t in items], W.separators("alnum"), W.lowered())
-        self.owners: dict[bytes, list[str]] = defaultdict(list)  # a window's text: its items
-        self.length: dict[bytes, int] = {}
-        for (item, _), a, b in zip(items, read.first[:-1], read.first[1:], strict=True):
-            for at in range(a, max(a, b - WINDOW) + 1) if b > a else ():
-                text = read.text(at, min(b, at + WINDOW))
-                if item not in self.owners[text]:
-                    self.owners[text].append(item)
-                self.length[text] = min(b, at + WINDOW) - at
-        self.windows = sorted(self.owners)
-        mine = W.Words(self.windows, W.separators("alnum"))
-        self.hash = mine.hashes()
-        self.first = mine.first
-        lengths = np.diff(self.first)
-        self.sizes = sorted({min(SHINGLE, int(n)) for n in lengths})
-        self.grams: dict[int, np.ndarray] = {}  # by shingle size: all shingles of the windows, sorted
-        self.of: list[tuple[int, np.ndarray]] = []
-        grams = defaultdict(list)
-        for k, n in enumerate(lengths):
-            size = min(SHINGLE, int(n))
-            g = W.mixed(W.runs(self.hash[self.first[k] : self.first[k + 1]], size))
-            self.of.append((size, g))
-            grams[size].append(g)
-        for size, found in grams.items():
-            self.grams[size] = np.unique(np.concatenate(found))
-
-    def rarest(self, counts: dict[tuple[int, int], int]) -> None:
-        """Orders each window's shingles by rarity; a window must be found by the first, the necessary prefix of an exact containment."""
-        entries = defaultdict(list)
-        for k, (size, g) in enumerate(self.of):
-            at = min(range(len(g)), key=lambda i: (counts.get((size, int(g[i].view(np.int64))), 0), i))
-            entries[size].append((int(g[at]), at, k))
-        self.prefix = {}
-        for size, rows in entries.items():
-            rows.sort()
-            gram = np.array([r[0] for r in rows], np.uint64)
-            self.prefix[size] = (gram, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
-
-    @staticmethod
-    def among(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Where h has one of the keys (sorted)."""
-        slots = np.zeros(SLOTS, bool)
-        slots[(keys % np.uint64(SLOTS)).astype(np.int64)] = True
-        at = np.flatnonzero(slots[(h % np.uint64(SLOTS)).astype(np.int64)])
-        where = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-        return at[keys[where] == h[at]] if len(keys) else at[:0]
-
-    def found(self, read: W.Words) -> list[tuple[list[tuple[int, int]], list[str]]]:
-        """For each text the (start, end) of every occurrence of a window, in words from the text's first, and the items."""
-        h, out = read.hashes(), [([], set()) for _ in range(len(read.first) - 1)]
-        for size, (gram, offset, window) in self.prefix.items():
-            g = W.mixed(W.runs(h, size))
-            at = self.among(g, gram)
-            low, high = np.searchsorted(gram, g[at], "left"), np.searchsorted(gram, g[at], "right")
-            pick = np.repeat(low, high - low) + np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-            pos, k = np.repeat(at, high - low) - offset[pick], window[pick]
-            # Length and position: the window must lie within the text that holds its shingle.
-            doc = np.searchsorted(read.first, np.repeat(at, high - low), "right") - 1
-            n = self.first[k + 1] - self.first[k]
-            inside = (pos >= read.first[doc]) & (pos + n <= read.first[doc + 1])
-            pos, k, doc, n = pos[inside], k[inside], doc[inside], n[inside]
-            for length in np.unique(n):
-                own = np.flatnonzero(n == length)
-                steps = np.arange(length)
-                same = (h[pos[own, None] + steps] == self.hash[self.first[k[own], None] + steps]).all(1)
-                for i in own[same]:
-                    a, b, d, text = int(pos[i]), int(pos[i] + length), int(doc[i]), self.windows[k[i]]
-                    if read.text(a, b) == text:
-                        out[d][0].append((a - int(read.first[d]), b - int(read.first[d])))
-                        out[d][1].update(self.owners[text])
-        return [(sorted(set(spans)), sorted(items)) for spans, items in out]
-
-
-def _counter(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: The least and the most bits (as powers of two) of the table that tells most absent shingles apart at once. A fuller table lets more pass to the join, which is exact.
+LEAST_BITS, MOST_BITS = 16, 27
+
+
+def shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the size words that start at each word; sizes don't meet."""
+    return W.mixed(W.runs(h, size) + np.uint64(size))
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of items: item, window (digest), text (words with one space between), n (words), grams (hashes of its shingles)."""
+    for batch, texts in W.blocks(batches):
+        read = W.Words(texts, W.separators("alnum"), W.lowered())
+        h = read.hashes()
+        three = shingles(h, SHINGLE)
+        items = batch.column("item").to_pylist()
+        out: dict[str, list] = {"item": [], "window": [], "text": [], "n": [], "grams": []}
+        for item, a, b in zip(items, read.first[:-1].tolist(), read.first[1:].tolist(), strict=True):
+            n = min(WINDOW, b - a)
+            for at in range(a, b - n + 1) if n else ():
+                text = read.text(at, at + n)
+                out["item"].append(item)
+                out["window"].append(hashlib.blake2b(text, digest_size=16).digest())
+                out["text"].append(text.decode())
+                out["n"].append(n)
+                grams = three[at : at + n - SHINGLE + 1] if n >= SHINGLE else shingles(h[at : at + n], n)
+                out["grams"].append(grams.view(np.int64))
+        kinds = (pa.string(), pa.binary(), pa.string(), pa.int32(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+
+
+class Sieve:
+    """A table of bits, broadcast, that holds all of some hashes and few others."""
+
+    def __init__(self, grams: DataFrame, sizes: list[int]):
+        """grams: rows of gram, distinct. sizes: how many words the shingles have."""
+        spark, n = grams.sparkSession, grams.count()
+        self.sizes = sizes
+        self.bits = min(MOST_BITS, max(LEAST_BITS, (32 * n).bit_length()))
+        slot = F.col("gram").bitwiseAND(F.lit((1 << self.bits) - 1))
+        cells = grams.select(F.shiftright(slot, 6).alias("cell"), F.expr(f"shiftleft(1L, cast(gram & {63} as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bit"))
+        found = cells.toArrow()  # at most 2 ** (MOST_BITS - 6) rows
+        table = np.zeros(1 << (self.bits - 6), np.uint64)
+        table[np.asarray(found.column("cell"))] = np.asarray(found.column("bit")).view(np.uint64)
+        self.table = spark.sparkContext.broadcast(table)
+
+    def passing(self, g: np.ndarray) -> np.ndarray:
+        """Where g may be one of the hashes, and surely where it is."""
+        slot = g & np.uint64((1 << self.bits) - 1)
+        return np.flatnonzero((self.table.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+
+
+def _counter(sieve: Sieve) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        total: dict[int, np.ndarray] = {s: np.zeros(len(g), np.int64) for s, g in index.grams.items()}
         for _, texts in W.blocks(batches):
-            read = W.Words(texts, W.separators("alnum"), W.lowered())
-            h = read.hashes()
-            for size, keys in index.grams.items():
-                g = W.mixed(W.runs(h, size))
-                np.add.at(total[size], np.searchsorted(keys, g[index.among(g, keys)]), 1)
-        for size, n in total.items():
-            own = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"size": np.full(len(own), size, np.int32), "gram": index.grams[size][own].view(np.int64), "n": n[own]})
+            h = W.Words(texts, W.separators("alnum"), W.lowered()).hashes()
+            found = []
+            for size in sieve.sizes:
+                g = shingles(h, size)
+                found.append(g[sieve.passing(g)])
+            gram, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"gram": gram.view(np.int64), "n": n.astype(np.int64)})
 
     return run
 
 
-def _finder(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    spans_type, items_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), pa.list_(pa.string())
+def _finder(sieve: Sieve | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each document (n_words) and one for each place of it that may hold a window's rarest shingle: pos (words from the text's first), gram, before (words of context ahead of it), context."""
 
     def run(batches):
+        names = ["doc_id", "fp", "n_words", "pos", "gram", "before", "context"]
         for batch, texts in W.blocks(batches):
             read = W.Words(texts, W.separators("alnum"), W.lowered())
-            found = index.found(read)
-            keep = batch.select([c for c in batch.schema.names if c != "text"])
-            columns = [keep.column(i) for i in range(keep.num_columns)] + [
-                pa.array(np.diff(read.first), pa.int64()),
-                pa.array([[{"s": a, "e": b} for a, b in spans] for spans, _ in found], spans_type),
-                pa.array([items for _, items in found], items_type),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep.schema.names, "n_words", "spans", "items"])
+            none = lambda count, kind: pa.nulls(count, kind)
+            k = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), pa.array(np.diff(read.first), pa.int64()), none(k, pa.int32()), none(k, pa.int64()), none(k, pa.int32()), none(k, pa.string())], names=names)
+            if sieve is None:
+                continue
+            h = read.hashes()
+            for size in sieve.sizes:
+                g = shingles(h, size)
+                at = sieve.passing(g)
+                doc = np.searchsorted(read.first, at, "right") - 1
+                inside = at + size <= read.first[doc + 1]  # a run of words of two texts is none
+                at, doc = at[inside], doc[inside]
+                low, high = np.maximum(at - (WINDOW - size), read.first[doc]), np.minimum(at + WINDOW, read.first[doc + 1])
+                own = batch.select(["doc_id", "fp"]).take(pa.array(doc))
+                m = len(at)
+                context = [read.text(a, b).decode() for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("doc_id"), own.column("fp"), none(m, pa.int64()), pa.array((at - read.first[doc]).astype(np.int32)), pa.array(g[at].view(np.int64)), pa.array((at - low).astype(np.int32)), pa.array(context, pa.string())],
+                    names=names,
+                )
 
     return run
 
 
-def item_texts(benchmark: DataFrame) -> tuple[DataFrame, int]:
-    """The items (item, text), nulls replaced, and into how many blocks they go."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n_bytes = items.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
-    return items, 1 + int(n_bytes // BLOCK_BYTES)
+def prefixes(windows: DataFrame, texts: DataFrame) -> DataFrame:
+    """gram, at, window, n, text: the rarest shingle of each window and where in the window it is. A window with a shingle that no document holds occurs nowhere, and has no row.
+
+    windows: window, text, n, grams; distinct. texts: the text of all documents.
+    """
+    grams = stored(windows.select("window", F.posexplode("grams").alias("at", "gram")), "decontaminate-grams")
+    sizes = sorted({min(SHINGLE, r[0]) for r in windows.select("n").distinct().collect()})  # at most WINDOW rows
+    sieve = Sieve(grams.select("gram").distinct(), sizes)
+    seen = texts.mapInArrow(_counter(sieve), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("times"))
+    counted = split_join(grams, stored(seen, "decontaminate-counts"), "gram", ["window", "at"], "left")
+    rarest = counted.groupBy("window").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "at", "gram")).alias("r")).where("r.times > 0")
+    return rarest.select("window", "r.at", "r.gram").join(windows.select("window", "text", "n"), "window")
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns of keep, n_words, spans (start and end in words of every occurrence of an item's window) and items (ids, sorted as strings), a row for each document.
+def matched(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables. A row for each document: doc_id, fp, n_words. A row for each (_id, fp) with an occurrence of a window: spans
+    (start and end in words of each, sorted) and items (ids, sorted as strings).
 
-    First the windows' shingles are counted over all documents, then each window is looked for by its
-    rarest. The items of one pass are bounded by BLOCK_BYTES; a larger benchmark takes more passes, whose hits are
-    then joined with the first pass's rows, so that repeated rows stay. Null texts have no words; items without words have no windows; a null item_id reads "null".
+    docs: doc_id, fp (the text's hash), text. Null texts have no words; items without words have no windows; a null item_id
+    reads "null"; repeated items and rows change nothing. Rows that agree in doc_id and text have the same occurrences.
     """
-    items, n_blocks = item_texts(benchmark)
-    texts = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    kept = docs.select(*keep).schema
-    passes = []
-    for block in range(n_blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
-        index = Index(sorted((r[0], r[1].encode()) for r in own.collect()))
-        counted = texts.select("text").mapInArrow(_counter(index), "size int, gram long, n long") if index.windows else None
-        # As many rows as the block's windows have shingles, so the block's size bounds them.
-        counts = {(r[0], r[1]): r[2] for r in counted.groupBy("size", "gram").agg(F.sum("n").alias("n")).collect()} if counted is not None else {}
-        index.rarest(counts)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_words long, spans array<struct<s:int,e:int>>, items array<string>"
-        found = texts.mapInArrow(_finder(index), schema)
-        found = stored(found, "decontaminate-block") if n_blocks > 1 else found
-        passes.append(found)
-    if n_blocks == 1:
-        return passes[0]
-    hits = None
-    for found in passes:
-        # Equal rows have equal hits, so one of each is enough.
-        own = found.where(F.size("spans") > 0).groupBy(*keep).agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
-        hits = own if hits is None else hits.unionByName(own)
-    joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    hits = hits.groupBy(*(F.col(c).alias(f"_h{i}") for i, c in enumerate(keep))).agg(joined("spans").alias("spans"), joined("items").alias("items"))
-    rows = passes[0].drop("spans", "items")
-    same = F.lit(True)
-    for i, c in enumerate(keep):
-        same = same & rows[c].eqNullSafe(hits[f"_h{i}"])
-    schema = {f.name: f.dataType for f in hits.schema}
-    none = lambda c: F.coalesce(c, F.array().cast(schema[c])).alias(c)
-    return rows.join(hits, same, "left").select(*keep, "n_words", none("spans"), none("items"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
+    found = stored(items.mapInArrow(_windows, "item string, window binary, text string, n int, grams array<long>"), "decontaminate-items")
+    windows = stored(found.groupBy("window").agg(F.first("text").alias("text"), F.first("n").alias("n"), F.first("grams").alias("grams")), "decontaminate-windows")
+    prefix, sieve = None, None
+    if not windows.isEmpty():
+        prefix = stored(prefixes(windows, docs.select("text")), "decontaminate-prefixes")
+        sizes = sorted({min(SHINGLE, r[0]) for r in prefix.select("n").distinct().collect()})  # at most WINDOW rows
+        sieve = Sieve(prefix.select("gram").distinct(), sizes) if sizes else None
+    schema = "doc_id long, fp long, n_words long, pos int, gram long, before int, context string"
+    rows = stored(docs.select("doc_id", "fp", "text").mapInArrow(_finder(sieve), schema), "decontaminate-places")
+    whole = rows.where("n_words is not null").select("doc_id", "fp", "n_words")
+    if sieve is None:
+        return whole, whole.sparkSession.createDataFrame([], "_id long, fp long, spans array<struct<s:int,e:int>>, items array<string>")
+    places = rows.where("gram is not null").select(known_id().alias("_id"), "fp", "pos", "gram", "before", "context")
+    near = split_join(places, prefix, "gram", ["fp", "pos"])
+    # Position and length: the window must lie within the text that holds its shingle; then its words must be there.
+    near = near.where("at <= before").withColumn("w", F.split("context", " "))
+    near = near.where("before - at + n <= size(w) and array_join(slice(w, before - at + 1, n), ' ') = text")
+    hits = stored(near.select("_id", "fp", (F.col("pos") - F.col("at")).alias("s"), (F.col("pos") - F.col("at") + F.col("n")).alias("e"), "window").distinct(), "decontaminate-hits")
+    spans = hits.groupBy("_id", "fp").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    owners = found.select("window", "item").distinct()
+    named = split_join(hits.select("_id", "fp", "window").distinct(), owners, "window", ["_id", "fp"])
+    named = named.select("_id", "fp", "item").distinct().groupBy("_id", "fp").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return whole, stored(spans.join(named, ["_id", "fp"]), "decontaminate-spans")
 
 
 def hit_words() -> Column:
@@ -190,37 +177,34 @@ def hit_words() -> Column:
     return F.aggregate("spans", start, step, lambda a: a["n"])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("fp"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_fp"))
-    rows = matched(keyed, benchmark, ["doc_id", "_fp"]).drop("_fp")
-    n_hit = hit_words().cast("long")
+    """One row for each document, repeated ones and those without an id too: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    An empty table gives no rows, an empty benchmark no hits; a text is read whole, however long.
+    """
+    whole, hits = matched(_keyed(docs), benchmark)
+    rows = whole.withColumn("_id", known_id()).join(hits, ["_id", "fp"], "left")
+    n_hit = F.coalesce(hit_words(), F.lit(0)).cast("long")
     return rows.select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no window of an item, with their columns.
-
-    A benchmark of one block is screened in the scan itself; hits of a larger one are told by id and fingerprint.
-    """
-    if item_texts(benchmark)[1] == 1:
-        # Numbered names keep extra columns clear of the operator's own.
-        short = [f"c{i}" for i in range(len(docs.columns))]
-        renamed = docs.select(*(docs[c].alias(s) for c, s in zip(docs.columns, short, strict=True)), docs["text"].alias("text"))
-        clean = matched(renamed, benchmark, short).where(F.size("spans") == 0)
-        return clean.select(*(F.col(s).alias(c) for c, s in zip(docs.columns, short, strict=True)))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_fp"))
-    hit = matched(keyed, benchmark, ["doc_id", "_fp"]).where(F.size("spans") > 0)
-    hit = hit.select(F.col("doc_id").alias("_qs_id"), F.col("_fp").alias("_qs_fp")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(hit["_qs_id"]) & (F.xxhash64(docs["text"]) == hit["_qs_fp"])
-    return docs.join(hit, same, "left_anti")
+    """The documents that hold no window of an item, with their columns. Hits are told by id and text, so a clean document that shares an id with another stays."""
+    _, hits = matched(_keyed(docs), benchmark)
+    gone = hits.select(F.col("_id").alias("_qs_id"), F.col("fp").alias("_qs_fp"))
+    same = (known_id(docs["doc_id"]) == gone["_qs_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_qs_fp"])
+    return docs.join(gone, same, "left_anti")
 
 
 SQL = r"""

@@ -203,38 +203,40 @@ def test_branching_passages(spark):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (n, gone, sha), i
 
 
-def test_decontamination(spark, docs, monkeypatch):
+@pytest.mark.parametrize("bits", [27, 6])
+def test_decontamination(spark, docs, monkeypatch, bits):
+    """With a table of bits as it is, and with one so small that nearly every shingle passes."""
     items = [(1, "two THREE, four"), (2, " ".join(f"p{i}" for i in range(20, 45))), (3, None), (4, "!!"), (10, " ".join(f"P{i}" for i in range(33, 43))), (5, "short"), (None, "seven")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: word.findall((t or "").translate(LOWER))
-    for limit in (8 << 20, 60):
-        monkeypatch.setattr(decontamination, "BLOCK_BYTES", limit)
-        got = by_id(decontamination.decontaminate(docs, bench))
-        for i, t in TEXTS.items():
-            w, hit, own = split(t), set(), set()
-            for item, text in items:
-                u = split(text)
-                for p in range(max(1, len(u) - 9) if u else 0):
-                    v = u[p : p + 10]
-                    for q in range(len(w) - len(v) + 1):
-                        if w[q : q + len(v)] == v:
-                            hit |= set(range(q, q + len(v)))
-                            own.add("null" if item is None else str(item))
-            r = got[i]
-            assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(own), bool(hit)), i
-            assert r.items_sha256 == hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
-        assert {r.doc_id for r in decontamination.clean_documents(docs, bench).collect()} == {i for i in TEXTS if not got[i].contaminated}
-
-
-def test_decontamination_keeps_repeated_rows(spark, odd, monkeypatch):
-    """As many rows with a benchmark of many blocks as with one of one block."""
-    bench = spark.createDataFrame([(1, "two THREE, four"), (2, " ".join(f"p{i}" for i in range(20, 45))), (3, None), (4, "no id here"), (5, "short")], "item_id long, text string")
-    got = []
-    for limit in (8 << 20, 60):
-        monkeypatch.setattr(decontamination, "BLOCK_BYTES", limit)
-        got.append((Counter(map(tuple, decontamination.decontaminate(odd, bench).collect())), decontamination.clean_documents(odd, bench).count()))
-    assert got[0] == got[1] and got[1][0].total() == odd.count()
+    monkeypatch.setattr(decontamination, "MOST_BITS", bits)
+    monkeypatch.setattr(decontamination, "LEAST_BITS", min(bits, 16))
+    got = by_id(decontamination.decontaminate(docs, bench))
+    for i, t in TEXTS.items():
+        w, hit, own = split(t), set(), set()
+        for item, text in items:
+            u = split(text)
+            for p in range(max(1, len(u) - 9) if u else 0):
+                v = u[p : p + 10]
+                for q in range(len(w) - len(v) + 1):
+                    if w[q : q + len(v)] == v:
+                        hit |= set(range(q, q + len(v)))
+                        own.add("null" if item is None else str(item))
+        r = got[i]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(own), bool(hit)), i
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
+    assert {r.doc_id for r in decontamination.clean_documents(docs, bench).collect()} == {i for i in TEXTS if not got[i].contaminated}
+
+
+def test_decontamination_keeps_repeated_rows(spark, odd):
+    bench = spark.createDataFrame([(1, "two THREE, four"), (2, " ".join(f"p{i}" for i in range(20, 45))), (2, "short"), (3, None), (4, "no id here"), (5, "short")] + [(None, None)] * 20, "item_id long, text string")
+    got = decontamination.decontaminate(odd, bench).collect()
+    assert len(got) == odd.count()
+    assert Counter((r.doc_id, r.n_hit) for r in got if r.contaminated) == Counter({(0, 3): 2, (5, 3): 1, (4, 1): 1, (12, 25): 2, (13, 15): 1, (14, 25): 1, (None, 3): 1})
+    clean = [(r.doc_id, r.text) for r in decontamination.clean_documents(odd, bench).collect()]
+    assert len(clean) == odd.count() - sum(r.contaminated for r in got) and (None, None) in clean
+    assert decontamination.clean_documents(odd, bench.limit(0)).count() == odd.count()
 
 
 def test_quality_measures(spark, sf, docs):
