@@ -14,6 +14,8 @@ ship(__name__)
 
 #: Bytes of text that are worked on at once; a longer text makes a block of its own.
 BLOCK = 1 << 20
+#: Bytes whose powers and products are held at once while words are hashed.
+CHUNK = 1 << 22
 
 
 def separators(kind: str) -> np.ndarray:
@@ -79,8 +81,13 @@ class Words:
         values[32] = 0  # the space after a word adds nothing
         length = self.end - self.start
         power = np.cumprod(np.full(int(length.max()) + 2, 0x9E3779B97F4A7C15 & ~7 | 5, np.uint64))
-        inside = np.arange(len(self.norm), dtype=np.int64) - np.repeat(self.start, length + 1)
-        h = np.add.reduceat(values[self.norm] * power[inside], self.start)
+        h, at = np.empty(n, np.uint64), 0
+        while at < n:  # some words at a time, so that a very long text needs no arrays of many bytes for each of its own
+            to = max(at + 1, int(np.searchsorted(self.start, self.start[at] + CHUNK)))
+            begin, stop = self.start[at], self.end[to - 1] + 1
+            inside = np.arange(begin, stop) - np.repeat(self.start[at:to], length[at:to] + 1)
+            h[at:to] = np.add.reduceat(values[self.norm[begin:stop]] * power[inside], self.start[at:to] - begin)
+            at = to
         return mixed(h + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def text(self, a: int, b: int) -> bytes:
