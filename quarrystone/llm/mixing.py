@@ -19,12 +19,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size (words of the text; a null text has none) and the key that shuffles documents."""
+    """doc_id, source, size (words of the text; a null text has none) and the key that shuffles documents: of their id, or their text where they have none."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_key"),
+        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5("text"), F.lit("")))).alias("_key"),
     )
 
 
@@ -60,8 +60,8 @@ def queued(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EP
     an entry is the source's words up to its end over the source's target. All entries are
     range-sorted by it (ties by source), and the mix is cut before the entry that goes over the budget.
     A source's running word count comes from totals of (source, leading digits of the shuffle key), so
-    that no source's rows meet in one task. Null ids share one place in the shuffle; ties and repeated rows are queued
-    one after the other; a null source is a source of its own, the last.
+    that no source's rows meet in one task. Ties and repeated rows are queued
+    one after the other; a null source is a source of its own, the last. An empty table gives no rows; a text counts by its words however long it is.
     """
     narrow = stored(sized(docs, seed), "mix-sizes").withColumn("_cell", F.substring("_key", 1, DIGITS))
     spark = docs.sparkSession
@@ -100,27 +100,31 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, each as often as it takes it, with their columns.
 
     Rows are joined back by id, source and size; rows that agree in all three are taken as often as
-    their counts add up to, dealt to them in turn.
+    their counts add up to, dealt to them in turn in the order of their texts, so that reruns agree.
     """
-    on = ["_qs_id", "_qs_source", "_qs_size"]
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))]
+    # Numbered names keep extra columns clear of the operator's own.
+    short = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.select(*(docs[c].alias(s) for c, s in zip(docs.columns, short, strict=True)), docs["doc_id"], docs["source"], docs["text"])
+    on = ["_id", "_source", "_size"]
+    key = [F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))]
     times = queued(docs).select(key[0].alias(on[0]), key[1].alias(on[1]), F.col("size").alias(on[2]), "times")
-    times = stored(times.groupBy(*on).agg(F.sum("times").alias("_qs_times"), F.count("*").alias("_qs_same")), "mix-times")
-    keyed = docs.select("*", key[0].alias(on[0]), key[1].alias(on[1]), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias(on[2]))
+    times = stored(times.groupBy(*on).agg(F.sum("times").alias("_times"), F.count("*").alias("_same")), "mix-times")
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    keyed = own.select(*short, key[0].alias(on[0]), key[1].alias(on[1]), size.alias(on[2]), F.xxhash64("text").alias("_fp"))
     number = F.lit(0)
-    if not times.where("_qs_same > 1").isEmpty():
-        keyed = keyed.withColumn("_qs_k", F.row_number().over(Window.partitionBy(*on).orderBy(on[0])) - 1)
-        number = F.col("_qs_k")
-    out = keyed.join(times.where("_qs_times > 0"), on)
-    n = F.floor(F.col("_qs_times") / F.col("_qs_same")) + F.when(number < F.col("_qs_times") % F.col("_qs_same"), 1).otherwise(0)
-    out = out.withColumn("_qs_n", n.cast("int")).where("_qs_n > 0")
-    return out.withColumn("_qs_copy", F.explode(F.array_repeat(F.lit(1), F.col("_qs_n")))).select(*docs.columns)
+    if not times.where("_same > 1").isEmpty():
+        keyed = keyed.withColumn("_k", F.row_number().over(Window.partitionBy(*on).orderBy("_fp")) - 1)
+        number = F.col("_k")
+    out = keyed.join(times.where("_times > 0"), on)
+    n = F.floor(F.col("_times") / F.col("_same")) + F.when(number < F.col("_times") % F.col("_same"), 1).otherwise(0)
+    out = out.withColumn("_n", n.cast("int")).where("_n > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n"))))
+    return out.select(*(F.col(s).alias(c) for c, s in zip(docs.columns, short, strict=True)))
 
 
 SQL = r"""
 WITH s AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(text), '')) AS k FROM documents
 ), b AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk FROM s GROUP BY source
 ), c AS (
