@@ -323,10 +323,10 @@ def trained(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     if not ids:
         return fitted([])
     chosen = docs.sparkSession.createDataFrame([(int(r[0]), int(r[1])) for r in ids], "id long, toxic int")
-    # At most 2 * TRAIN_EACH rows, whatever the input.
-    rows = docs.where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select(F.col("doc_id").alias("i"), F.col("text").alias("t"), chosen["toxic"].alias("y"))
-    rows = sorted((r["i"], r["t"], r["y"]) for r in rows.select("i", "t", "y").limit(4 * TRAIN_EACH).collect())
-    return fitted([(t.encode(), y) for _, t, y in rows])
+    own = docs.where(F.octet_length("text") <= TRAIN_BYTES).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
+    # One text for each id, that of the least hash, so at most 2 * TRAIN_EACH rows however often an id's rows repeat.
+    rows = own.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t")).collect()
+    return fitted([(t.encode(), y) for _, t, y in sorted((r["id"], r["t"], r["toxic"]) for r in rows)])
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
