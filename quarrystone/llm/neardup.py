@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm import words as W
 from quarrystone.llm.components import components
+from quarrystone.llm.hot import split_join
 from quarrystone.llm.store import known_id, ship, stored
 
 ship(__name__)
@@ -93,9 +94,11 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts' full sets link. texts: v, text."""
+    """The pairs (a, b) whose texts' full sets link. texts: v, text. A document with many partners meets them in several tasks."""
+    pairs = stored(pairs.select("a", "b"), "neardup-pairs")
     right = pairs.join(texts.select(F.col("v").alias("b"), F.col("text").alias("right")), "b")
-    both = right.join(texts.select(F.col("v").alias("a"), F.col("text").alias("left")), "a")
+    centres = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    both = split_join(right, texts.select(F.col("v").alias("a"), F.col("text").alias("left")), "a", ["b"], counts=centres)
     return stored(both.select("a", "b", "left", "right").mapInArrow(_confirm, "a long, b long"), "neardup-links")
 
 
@@ -108,9 +111,9 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows (key, v, n) of buckets that hold more than one component, with label."""
-    named = rows.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    many = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    return named.join(many, "key")
+    named = stored(rows.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")), "neardup-named")
+    many = stored(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"), "neardup-mixed")
+    return split_join(named, many.select("key"), "key", ["v"], counts=many)
 
 
 def prefix_pairs(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -121,20 +124,20 @@ def prefix_pairs(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A pair across components has a member outside the bucket's largest component, so only those are paired with all.
     """
     rows = stored(docs.select("v", "text").mapInArrow(_shingle_rows, "v long, n long, token long"), "neardup-shingles")
-    counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    counts = stored(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "neardup-shared-shingles")
     # Shingles of one document only can't be shared; they still take the first places of the order.
-    ordered = rows.join(counts, "token").groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    ordered = split_join(rows, counts, "token", ["v"], counts=counts.withColumnRenamed("df", "n")).groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
     places = F.expr(f"greatest(0, n - (n * {LINK} + 99) div 100 + 1 - (n - size(shared)))").cast("int")
     first = ordered.select("v", "n", (F.col("n") - F.size("shared")).alias("own"), F.posexplode(F.slice("shared", F.lit(1), places)).alias("i", "t"))
     first = first.select(F.col("t.token").alias("key"), "v", "n", (F.col("n") - F.col("own") - F.col("i")).alias("left"))
     members = stored(_mixed(first, labels), "neardup-members")
     sizes = members.groupBy("key", "label").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("m")).select("key", F.col("m.label").alias("largest"))
-    x = members.join(largest, "key").where("label <> largest").select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("left").alias("ra"), F.col("label").alias("la"))
+    largest = stored(sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("m"), F.sum("size").alias("n")).select("key", F.col("m.label").alias("largest"), "n"), "neardup-largest")
+    x = split_join(members, largest.drop("n"), "key", ["v"], counts=largest).where("label <> largest").select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("left").alias("ra"), F.col("label").alias("la"))
     y = members.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("left").alias("rb"), F.col("label").alias("lb"))
     # If the key is the first that a pair shares, it shares no more than either has left from there on.
     most = "least(ra, rb)"
-    near = x.join(y, "key").where(f"la <> lb and 100 * {most} >= {LINK} * (na + nb - {most})")
+    near = split_join(y, x, "key", ["b"], counts=largest).where(f"la <> lb and 100 * {most} >= {LINK} * (na + nb - {most})")
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -162,13 +165,13 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = stored(distinct, "neardup-distinct")
 
     single = distinct.select("v", "n", F.posexplode("bands").alias("i", "value")).withColumn("key", F.xxhash64("i", "value"))
-    shared = single.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    live = single.join(shared, "key").groupBy("v", "n").agg(F.collect_list(F.struct("i", "value")).alias("s"))
+    shared = stored(single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "neardup-shared")
+    live = split_join(single, shared.select("key"), "key", ["v"], counts=shared).groupBy("v", "n").agg(F.collect_list(F.struct("i", "value")).alias("s"))
     side = lambda a: F.filter("s", lambda x: (x["i"] < BANDS) == F.lit(a))
     pairs = F.flatten(F.transform(side(True), lambda a: F.transform(side(False), lambda b: F.xxhash64(a["i"], b["i"], a["value"], b["value"]))))
     keys = stored(live.select("v", "n", F.explode(pairs).alias("key")), "neardup-keys")
-    heads = keys.groupBy("key").agg(F.min(F.struct("v", "n")).alias("h"), F.max("v").alias("hi")).where("h.v < hi").select("key", "h")
-    keys = stored(keys.join(heads, "key"), "neardup-buckets")
+    heads = stored(keys.groupBy("key").agg(F.min(F.struct("v", "n")).alias("h"), F.max("v").alias("hi"), F.count("*").alias("n")).where("h.v < hi").select("key", "h", "n"), "neardup-heads")
+    keys = stored(split_join(keys, heads.select("key", "h"), "key", ["v"], counts=heads), "neardup-buckets")
     stars = keys.where(f"v <> h.v and 100 * least(n, h.n) >= {LINK} * greatest(n, h.n)")
     stars = stored(stars.groupBy(F.col("h.v").alias("a"), F.col("v").alias("b")).agg(F.count("*").alias("k")), "neardup-stars")
 
@@ -182,8 +185,8 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = stars.groupBy("b").agg(F.max(F.struct("k", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
     links = confirmed(best, texts)
     labels = components(links, "neardup-1")
-    for name in ("a", "b"):
-        stars = stars.join(labels.select(F.col("v").alias(name), F.col("label").alias(f"l{name}")), name, "left")
+    stars = split_join(stars, labels.select(F.col("v").alias("a"), F.col("label").alias("la")), "a", ["b"], "left")
+    stars = stars.join(labels.select(F.col("v").alias("b"), F.col("label").alias("lb")), "b", "left")
     rest = stars.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b").join(best, ["a", "b"], "left_anti")
     more = confirmed(rest, texts)
     if not more.isEmpty():
@@ -208,7 +211,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component's smallest id (null if none has one) and is kept only where that is null. Repeated rows are one vertex and judged alike.
     """
     sets, found = linked(docs)
-    out = sets.select("doc_id", "n", "digest").join(found, "digest", "left")
+    out = split_join(sets.select("doc_id", "fp", "n", "digest"), found, "digest", ["doc_id", "fp"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -222,7 +225,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     sets, found = linked(docs)
     rows = sets.where("n > 0").select(known_id().alias("_qs_id"), F.col("fp").alias("_qs_fp"), "digest")
     rows = stored(rows.groupBy("_qs_id", "_qs_fp").agg(F.first("digest").alias("digest"), F.count("*").alias("k")), "neardup-rows")
-    first = rows.join(found, "digest").groupBy("component").agg(F.min(F.struct("_qs_id", "_qs_fp", "k")).alias("r"))
+    first = split_join(rows, found, "digest", ["_qs_id", "_qs_fp"]).groupBy("component").agg(F.min(F.struct("_qs_id", "_qs_fp", "k")).alias("r"))
     first = stored(first.select("r.*"), "neardup-first")
     gone = rows.select("_qs_id", "_qs_fp").join(first, ["_qs_id", "_qs_fp"], "left_anti")
     same = lambda other: (known_id(docs["doc_id"]) == other["_qs_id"]) & (F.xxhash64(docs["text"]) == other["_qs_fp"])
