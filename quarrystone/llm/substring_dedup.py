@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm import words as W
+from quarrystone.llm.hot import split_join
 from quarrystone.llm.store import known_id, ship, stored
 
 ship(__name__)
@@ -131,10 +132,11 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     whole = found.where("sha is not null").select(known_id().alias("_id"), "fp", "doc_id", "n_words", "sha")
     pieces = found.where("piece is not null").select(known_id().alias("_id"), "fp", "anchor", "piece", "q", "n")
 
-    distinct = pieces.groupBy("piece", "anchor").agg(F.min(F.struct("_id", "fp", "q", "n")).alias("at"), F.max("_id").alias("most"))
+    distinct = pieces.groupBy("piece", "anchor").agg(F.min(F.struct("_id", "fp", "q", "n")).alias("at"), F.max("_id").alias("most"), F.count("*").alias("times"))
     distinct = stored(distinct, "substring-distinct")
     shared = distinct.groupBy("anchor").agg(F.min("at._id").alias("lo"), F.max("most").alias("hi"), F.count("*").alias("contents")).where("lo < hi").select("anchor", "contents")
-    distinct = stored(distinct.join(shared, "anchor"), "substring-shared")
+    shared = stored(shared, "substring-anchors")
+    distinct = stored(split_join(distinct, shared, "anchor", ["piece"], counts=shared.withColumnRenamed("contents", "n")), "substring-shared")
 
     straight = distinct.where("contents = 1").select("piece", F.col("at._id").alias("least"), F.lit(None).cast("array<bigint>").alias("firsts"))
     branches = distinct.where("contents > 1").select(F.col("at._id").alias("_id"), F.col("at.fp").alias("fp"), F.struct(F.col("at.q").alias("q"), F.col("at.n").alias("n"), "piece", F.col("at._id").alias("least")).alias("x"))
@@ -149,7 +151,7 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     branched = branched.select("piece", "least", F.when(F.col("m").isNotNull(), firsts).alias("firsts"))
     known = stored(straight.unionByName(branched), "substring-firsts")
 
-    gone = pieces.join(known, "piece")
+    gone = split_join(pieces, known, "piece", ["_id", "fp", "q"], counts=distinct.select("piece", F.col("times").alias("n")))
     which = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("firsts", i) < F.col("_id"))
     gone = gone.withColumn("which", F.when(F.col("least") >= F.col("_id"), F.when(F.col("firsts").isNotNull(), which).otherwise(F.array().cast("array<int>"))))
     gone = gone.where("which is null or size(which) > 0").groupBy("_id", "fp").agg(F.collect_list(F.struct("q", "n", "which")).alias("gone"))
