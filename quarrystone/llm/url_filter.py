@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.llm.hot import split_join
+
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (
     ("block", "net", "/"),
@@ -54,9 +56,12 @@ def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
     listed = rules.select("verdict", "host", "path", digest(F.col("host"), F.col("path")).alias("full")).distinct()
     listed = listed.withColumns({"short": F.substring("full", 1, SHORT), "rule": F.concat("host", "path"), "_len": F.length("host") + F.length("path"), "_host": F.length("host"), "_v": F.when(F.col("verdict") == "block", 1).otherwise(0)}).drop("host", "path")
     size = listed.count()
-    lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]  # as many as there are lengths of a path
+    lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]  # as many as there are lengths of a path: rules add none beyond the longest
     found = expressions(urls, sorted(lengths)).withColumn("digest", digest(F.col("h"), F.col("p"))).withColumn("short", F.substring("digest", 1, SHORT))
-    hits = found.join(F.broadcast(listed) if size <= BROADCAST_RULES else listed, "short").where("digest = full")
+    if size <= BROADCAST_RULES:
+        hits = found.join(F.broadcast(listed), "short").where("digest = full")
+    else:  # expressions that most urls share, such as ("com", "/"), are dealt to several tasks
+        hits = split_join(found, listed, "short", ["url"]).where("digest = full")
     best = F.max(F.struct("_len", "_host", "_v", "rule", "verdict")).alias("b")
     return hits.groupBy("url").agg(best).select("url", "b.rule", "b.verdict")
 
@@ -64,14 +69,14 @@ def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """One row for each page: page_id, host, path, rule (null where none fits), verdict.
 
-    Each distinct url is judged once, so a hot url costs no more than a rare one. Null and empty urls,
+    Each distinct url is judged once, and the rows of a hot url are dealt to several tasks. Null and empty urls,
     and those without a host, fit no rule and get the default verdict. Repeated rows come back repeated.
     """
     rules = rule_table(pages.sparkSession) if rules is None else rules
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
     urls = rows.where("url is not null").select("url").distinct().withColumns(host_and_path(F.col("url")))
     verdicts = judged(urls, rules)
-    out = rows.join(verdicts, "url", "left").withColumns(host_and_path(F.col("url")))
+    out = split_join(rows, verdicts, "url", ["page_id"], "left").withColumns(host_and_path(F.col("url")))
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT)).alias("verdict"))
 
 
