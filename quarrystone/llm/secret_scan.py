@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.llm.store import stored
@@ -41,24 +41,17 @@ ENCODINGS = (
 COINCIDENCE = 0.065
 #: Lengths that part candidates into strata: short ones, on which the tests tell little, are controlled by themselves.
 STRATA = (24, 32, 48, 64)
-#: Share of false discoveries in a stratum, and the least combined probability under randomness.
-SHARE, RANDOM = 0.05, 0.001
+#: Share of false discoveries in a stratum: among candidates that are told from text, and among those that the combined battery rejects as not random.
+SHARE, REJECTED = 0.05, 0.01
 #: Bins of -log10 p: 20 for each power of ten.
 BINS = 400
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as structs (s, e, m): code points, end exclusive."""
+def pieces(text: Column, pattern: str, made) -> Column:
+    """made(m) of each leftmost non-overlapping match m, with gap and length: the code points between it and the match before, and its own."""
     m, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + F.length(x["b"])
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.array_append(a["out"], F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))).alias("out"))
-
-    zipped = F.zip_with(F.slice(between, 1, F.size(m)), m, lambda b, y: F.struct(b.alias("b"), y.alias("m")))
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+    out = F.zip_with(F.slice(between, 1, F.size(m)), m, lambda b, y: F.struct(F.length(b).alias("gap"), F.length(y).alias("length"), made(y).alias("x")))
+    return F.when(F.regexp_like(text, F.lit(pattern)), out)
 
 
 def upper_tail(z: Column) -> Column:
@@ -117,15 +110,16 @@ def bin_of(p: Column) -> Column:
     return F.least(F.lit(BINS), F.floor(-20 * F.log10(F.greatest(p, F.lit(1e-30))))).cast("int")
 
 
-def cutoffs(counts: dict[tuple[int, int], int]) -> dict[int, int]:
-    """For each stratum the least bin from which candidates count as found: of those at or beyond it, at most SHARE are expected among as many candidates of text."""
+def cutoffs(counts: dict[tuple[int, int], int], share: float = SHARE) -> dict[int, int]:
+    """For each stratum the least bin from which candidates count as found: of those at or beyond it, at most a share is expected
+    if the hypothesis held for all."""
     out = {}
     for s in range(len(STRATA) + 1):
         total = sum(n for (t, _), n in counts.items() if t == s)
         beyond, best = 0, BINS + 1
         for b in range(BINS, -1, -1):
             beyond += counts.get((s, b), 0)
-            if beyond and total * math.pow(10, -b / 20) <= SHARE * beyond:
+            if beyond and total * math.pow(10, -b / 20) <= share * beyond:
                 best = b
         out[s] = best
     return out
@@ -138,35 +132,72 @@ def joined(found: Column) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id; base: structs (s, kind, e), sorted, of the patterns' matches; tried: (s, e, n, random, bin) of candidates that overlap none of them.
-
-    A null text counts as empty. Only spans and figures are stored, no text.
-    """
+    """row (a number of its own for each row), doc_id, and by kind the matches' gaps and lengths with what the kind is judged by. A null text counts as empty. No text is stored."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
-    rows = rows.select("doc_id", *(spans(F.col("t"), p).alias(k) for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("some", CANDIDATE))))
-    kind = lambda name, k, keep=None: F.transform(F.filter(name, keep) if keep else F.col(name), lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("kind"), x["e"].alias("e")))
-    long_enough = lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6
-    rows = rows.select("doc_id", F.array_sort(F.concat(kind("assign", 0, long_enough), kind("access", 1), kind("hex", 2))).alias("base"), "some")
-    free = F.filter("some", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    rows = rows.select("doc_id", "base", F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["m"]).alias("b"))).alias("tried"))
-    tried = F.transform("tried", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), stratum(x["b"]["n"]).alias("stratum"), x["b"]["random"].alias("random"), bin_of(x["b"]["text"]).alias("bin")))
-    return rows.select("doc_id", "base", tried.alias("tried"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
+
+    def tried(m: Column) -> Column:
+        b = F.transform(F.array(battery(m)), lambda b: F.struct(stratum(b["n"]).alias("stratum"), bin_of(b["random"]).alias("random"), bin_of(b["text"]).alias("text")))
+        return b[0]
+
+    long_enough = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6
+    every = lambda m: F.lit(True)
+    t = F.col("t")
+    return rows.select("row", "doc_id", pieces(t, ASSIGN, long_enough).alias("assign"), pieces(t, ACCESS, every).alias("access"), pieces(t, HEX, every).alias("hex"), pieces(t, CANDIDATE, tried).alias("some"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """row, kind (its number), s, e (code points, end exclusive), and for the battery's candidates stratum, random and text: all matches that count. Places are running sums, a window for each row and kind."""
+    parts = []
+    for k, name in enumerate(("assign", "access", "hex", "some")):
+        one = rows.where(F.size(name) > 0).select("row", F.lit(k).alias("kind"), F.posexplode(name).alias("i", "m"))
+        judged = ("m.x", F.lit(None).alias("b")) if k < 3 else (F.lit(True).alias("x"), F.col("m.x").alias("b"))
+        parts.append(one.select("row", "kind", "i", "m.gap", "m.length", *judged))
+    kind = parts[3].schema["b"].dataType
+    every = parts[0].withColumn("b", F.col("b").cast(kind))
+    for p in parts[1:]:
+        every = every.unionByName(p.withColumn("b", F.col("b").cast(kind)))
+    upto = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    e = F.sum(F.col("gap") + F.col("length")).over(upto).cast("int")
+    return every.withColumn("e", e).where("x").select("row", "kind", (F.col("e") - F.col("length")).alias("s"), "e", "b.stratum", "b.random", "b.text")
+
+
+def free(found: DataFrame) -> DataFrame:
+    """found without the candidates that overlap a pattern's match: one that starts no later and ends in or after the candidate, or the next one that starts within it."""
+    order = Window.partitionBy("row").orderBy("s", "kind")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row").orderBy(F.desc("s"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)  # running from the end
+    base = F.col("kind") < 3
+    last, following = F.max(F.when(base, F.col("e"))).over(before), F.min(F.when(base, F.col("s"))).over(after)
+    out = found.withColumns({"_last": F.coalesce(last, F.lit(0)), "_next": F.coalesce(following, F.lit(2**31 - 1))})
+    return out.where(base | ((F.col("_last") <= F.col("s")) & (F.col("_next") >= F.col("e")))).drop("_last", "_next")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base and spans (structs s, kind, e in order; spans has the battery's finds, kind 3, as well), a row for each document."""
-    rows = stored(scanned(docs), "secret-spans")
-    binned = rows.select(F.explode("tried").alias("x")).groupBy("x.stratum", "x.bin").count()
-    cut = cutoffs({(r[0], r[1]): r[2] for r in binned.collect()})  # at most strata times bins rows
-    least = lambda x: F.element_at(F.array(*(F.lit(cut[s]) for s in range(len(STRATA) + 1))), x["stratum"] + 1)
-    found = F.filter("tried", lambda x: (x["bin"] >= least(x)) & (x["random"] >= RANDOM))
-    found = F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("kind"), x["e"].alias("e")))
-    return rows.select("doc_id", "base", F.array_sort(F.concat("base", found)).alias("spans"))
+    """doc_id, base and spans (structs s, kind, e in order; spans has the battery's finds, kind 3, as well), a row for each document.
+
+    A candidate is found if, by its evenness, it is told from text, and the combined battery (chi-squared, runs, lag-one
+    correlation) doesn't reject it as random. Both are decided under control of the share of false discoveries in the stratum of its length.
+    """
+    rows = stored(scanned(docs), "secret-pieces")
+    found = stored(free(placed(rows)), "secret-spans")
+    tried = found.where("kind = 3")
+    # At most strata times bins rows come to the driver.
+    counted = lambda c: {(r[0], r[1]): r[2] for r in tried.groupBy("stratum", c).count().collect()}
+    even, uneven = cutoffs(counted("text")), cutoffs(counted("random"), REJECTED)
+    least = lambda cut: F.element_at(F.array(*(F.lit(cut[s]) for s in range(len(STRATA) + 1))), F.col("stratum") + 1)
+    kept = found.where((F.col("kind") < 3) | ((F.col("text") >= least(even)) & (F.col("random") < least(uneven))))
+    spans = F.array_sort(F.collect_list(F.struct("s", "kind", "e")))
+    by_row = kept.groupBy("row").agg(spans.alias("spans")).withColumn("base", F.filter("spans", lambda x: x["kind"] < 3))
+    none = F.array().cast(by_row.schema["spans"].dataType)
+    return rows.select("row", "doc_id").join(by_row, "row", "left").select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 
 def secrets(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """One row for each document, repeated ones and those without an id too: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+
+    Null and empty texts have no spans; an empty table gives no rows; a text takes time in proportion to its length and matches.
+    """
     rows = scan(docs)
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
