@@ -5,18 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The key of the permutations; a deployment passes its own.
-KEY = "quarrystone"
+#: Where a deployment puts its key, and the key of tests, which is used where none is put there.
+KEY_SETTING, KEY = "spark.quarrystone.pii.key", "quarrystone"
 ROUNDS = 10
 #: Dates from 1900-01-01 to 2099-12-31: 73,049 days, 17 times 4,297.
 FIRST_DAY, DATE_SIDES = "1900-01-01", (17, 4297)
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+#: A local part has 64 characters at most, so a longer run is no address.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 DATE = r"(?<![0-9.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[.-][0-9])"
-IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
-PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+#: Parts from 0 to 255 without leading zeros: one spelling for each address.
+OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+IP = rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])"
+#: International numbers in groups (three and four digits, pairs, or a long last group), then national ones of ten digits with an area code.
+PHONE = "|".join((
+    r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{3,4}){1,2}?[ .-]?[0-9]{4}(?![0-9])",
+    r"\+[0-9]{1,3}[ .-]?[0-9](?:[ .-][0-9]{2}){4}(?![0-9])",
+    r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,5}\)?[ .-]?[0-9]{4,8}(?![0-9])",
+    r"(?<![0-9+])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    r"(?<![0-9.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])",
+))
+#: Country codes of one and two digits (E.164); all others have three.
+CODE = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: Runs of groups of four (GROUPS at most, a longer table is read in pieces), two formats of fewer digits, and solid numbers. A separate short number beside one is no part of it.
+GROUPS = 64
+CARD = "|".join((
+    rf"(?<![0-9])[0-9]{{4}}(?:[ -][0-9]{{4}}(?![0-9])){{3,{GROUPS - 1}}}",
+    r"(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9])",
+    r"(?<![0-9])[0-9]{13,19}(?![0-9])",
+))
 #: kind: pattern, in the order in which they are tried at a place.
 PATTERNS = {"email": EMAIL, "date": DATE, "ip": IP, "phone": PHONE, "ssn": SSN, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -79,7 +97,7 @@ def luhn(value: Column, check: bool) -> Column:
 
 
 def card(m: Column, key: str) -> Column:
-    """The number with its digits but the last permuted and the check digit made valid again."""
+    """A number with its digits but the last permuted and the check digit made valid again."""
 
     def made(value: Column) -> Column:
         body = digits(F.substr(value, F.lit(1), F.length(value) - 1), key, "card")
@@ -88,10 +106,49 @@ def card(m: Column, key: str) -> Column:
     return put_digits(m, once(only_digits(m), made))
 
 
+def cards_at(m: Column) -> Column:
+    """In a run of groups of four: the groups (from 0) at which a valid number of four groups starts, leftmost and not overlapping. At most GROUPS groups."""
+    d = only_digits(m)
+
+    def chosen(d: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.length(d) / 4).cast("int") - 4)), lambda j: luhn(F.substr(d, j * 4 + 1, F.lit(16)), True) % 10 == 0)
+        none = F.array().cast("array<int>")
+        last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-4))
+        return F.aggregate(starts, none, lambda a, j: F.when(j >= last(a) + 4, F.array_append(a, j)).otherwise(a))
+
+    return once(d, chosen)
+
+
+def cards(m: Column, key: str) -> Column:
+    """A run of groups of four with its valid numbers replaced; a group has five characters with its separator."""
+
+    def written(at: Column) -> Column:
+        done = F.transform(at, lambda j: F.concat(card(F.substr(m, j * 5 + 1, F.lit(19)), key), F.substr(m, j * 5 + 20, F.lit(1))))
+        # What stands between the numbers: from the end of one to the start of the next.
+        ends = F.concat(F.array(F.lit(0)), F.transform(at, lambda j: j + 4))
+        gaps = F.zip_with(ends, F.concat(at, F.array(F.lit(None).cast("int"))), lambda a, b: F.when(b.isNull(), F.substr(m, a * 5 + 1, F.length(m))).otherwise(F.substr(m, a * 5 + 1, (b - a) * 5)))
+        return F.array_join(F.zip_with(gaps, done, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+
+    return once(cards_at(m), written)
+
+
 def phone(m: Column, key: str) -> Column:
-    """The country code stays; the other digits are permuted."""
-    code = F.regexp_extract(m, r"^(\+[0-9]{1,3})", 1)
-    return once(F.substr(m, F.length(code) + 1), lambda rest: F.concat(code, put_digits(rest, digits(only_digits(rest), key, "phone"))))
+    """The country code stays; the other digits are permuted among those of their number, however they are grouped, so one number has one pseudonym in all spellings. A national number has ten digits and no code."""
+
+    def made(d: Column) -> Column:
+        code = F.when(~m.startswith("+"), 0).when(F.regexp_extract(d, CODE, 0) != "", F.length(F.regexp_extract(d, CODE, 0))).otherwise(3)
+        return F.concat(F.substr(d, F.lit(1), code), digits(F.substr(d, code + 1, F.length(d) - code), key, "phone"))
+
+    return put_digits(m, once(only_digits(m), made))
+
+
+def ssn(m: Column, key: str) -> Column:
+    """Another of the valid numbers: areas 001 to 899 but 666, groups from 01, serials from 0001."""
+    part = lambda at, n: F.substr(m, F.lit(at), F.lit(n)).cast("long")
+    area = part(1, 3) - F.when(part(1, 3) > 666, 2).otherwise(1)
+    out = feistel(area, (part(5, 2) - 1) * 9999 + part(8, 4) - 1, (F.lit(898), F.lit(99 * 9999)), key, "ssn")
+    pad = lambda v, n: F.lpad(v.cast("long").cast("string"), n, "0")
+    return once(out, lambda x: F.concat_ws("-", pad(x["l"] + F.when(x["l"] >= 665, 2).otherwise(1), 3), pad(F.floor(x["r"] / 9999) + 1, 2), pad(x["r"] % 9999 + 1, 4)))
 
 
 def address(m: Column, key: str) -> Column:
@@ -167,16 +224,22 @@ def email(m: Column, key: str) -> Column:
     return F.concat(once(name(plain(local), key), put), rest)
 
 
+GROUPED = "^[0-9]{4}[ -][0-9]{4}[ -]"
+
+
 def kind_of(m: Column) -> Column:
-    """The kind of a match that is valid, else null: cards need their check digit, addresses parts up to 255, dates a day of the two centuries."""
+    """The kind of a match that is valid, else null: a card needs its check digit (a run of groups of four, one number with it),
+    a date a day of the two centuries, a phone 8 to 15 digits (ten without a country code), an SSN an area, group and serial that exist."""
     full = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
     low, high = F.lit(FIRST_DAY).cast("date"), F.lit("2099-12-31").cast("date")
     return (
         F.when(m.contains("@"), "email")
         .when(full("date"), F.when(day(m).between(low, high), "date"))
-        .when(full("ip"), F.when(F.forall(F.split(m, r"\."), lambda p: p.cast("int") <= 255), "ip"))
-        .when(m.startswith("+"), "phone")
-        .when(full("ssn"), "ssn")
+        .when(full("ip"), "ip")
+        .when(m.startswith("+"), F.when(F.length(only_digits(m)).between(8, 15), "phone"))
+        .when(full("phone"), "phone")
+        .when(full("ssn"), F.when(m.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), "ssn"))
+        .when(m.rlike(GROUPED), F.when(F.size(cards_at(m)) > 0, "card"))
         .otherwise(once(only_digits(m), lambda d: F.when(luhn(d, True) % 10 == 0, "card")))
     )
 
@@ -187,18 +250,21 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         .when(kind == "date", date(m, key))
         .when(kind == "ip", address(m, key))
         .when(kind == "phone", phone(m, key))
-        .when(kind == "ssn", put_digits(m, digits(only_digits(m), key, "ssn")))
-        .when(kind == "card", card(m, key))
+        .when(kind == "ssn", ssn(m, key))
+        .when(kind == "card", F.when(m.rlike(GROUPED), cards(m, key)).otherwise(card(m, key)))
         .otherwise(m)
     )
 
 
-def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymized(docs: DataFrame, key: str | None = None) -> DataFrame:
     """One row for each document: doc_id, text with its personal data replaced, n_email, n_date, n_ip, n_phone, n_ssn, n_card.
 
     Equal values get equal pseudonyms in every document; each kind's permutation has one pseudonym for each value, and the
-    format stays. Numbers that aren't valid are left. A null text stays null, an empty one empty.
+    format stays. Numbers that aren't valid are left. A null text stays null, an empty one empty; repeated rows come back
+    repeated and alike; an empty table gives no rows. Matches are bounded, so a text takes time in proportion to its length.
+    The key is the argument, or what the session has at KEY_SETTING. A run with several cards counts as one match.
     """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("found"))
     rows = rows.select("doc_id", "text", F.transform("found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))).alias("found"))
