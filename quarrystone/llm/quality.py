@@ -18,8 +18,10 @@ STEPS = 50
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and what rules look at besides: n_lines, n_letters, n_upper.
 
-    A null text has no words. Words of 3-word windows that occur twice or more are found by sorting the windows'
-    64-bit hashes, less as many low bits as the window's number takes (9 bits for 500 words), which tell where each is.
+    A row for each document, repeated ones and those without an id too; a null text has no words; a text is read whole, however
+    long. Words of 3-word windows that occur twice or more are found by sorting the windows' 64-bit hashes, less as many
+    low bits as the window's number takes (9 bits for 500 words), which tell where each is. Neighbours with equal hashes are
+    compared by their words; a text in which two differ is sorted by its words instead.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
@@ -39,9 +41,16 @@ def measured(docs: DataFrame) -> DataFrame:
     )
     own = [c for c in rows.columns if c != "w"]
     packed = F.expr("transform(sequence(0, n - 3), i -> shiftleft(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), bits) | cast(i as bigint))")
-    rows = rows.select(*own, F.when(F.col("n") >= 3, F.sort_array(packed)).alias("k"))
+    rows = rows.select(*own, "w", F.when(F.col("n") >= 3, F.sort_array(packed)).alias("k"))
+    at = lambda i: f"cast(k[{i}] & (shiftleft(1L, bits) - 1) as int)"
+    same_hash = "shiftright(k[i], bits) = shiftright(k[i - 1], bits)"
+    other_words = " or ".join(f"w[{at('i')} + {j}] <> w[{at('i - 1')} + {j}]" for j in range(3))
+    rows = rows.withColumn("clash", F.expr(f"size(k) > 1 and exists(sequence(1, size(k) - 1), i -> {same_hash} and ({other_words}))"))
     twice = "filter(sequence(0, size(k) - 1), i -> (i > 0 and shiftright(k[i], bits) = shiftright(k[i - 1], bits)) or (i < size(k) - 1 and shiftright(k[i], bits) = shiftright(get(k, i + 1), bits)))"
-    where = F.expr(f"sort_array(transform({twice}, i -> cast(k[i] & (shiftleft(1L, bits) - 1) as int)))")
+    by_hash = f"transform({twice}, i -> {at('i')})"
+    spelled = "sort_array(transform(sequence(0, n - 3), i -> struct(concat_ws(' ', w[i], w[i + 1], w[i + 2]) as t, i as i)))"
+    by_words = f"transform(array({spelled}), s -> transform(filter(sequence(0, size(s) - 1), i -> (i > 0 and s[i].t = get(s, i - 1).t) or s[i].t = get(s, i + 1).t), i -> s[i].i))[0]"
+    where = F.expr(f"sort_array(case when clash then {by_words} else {by_hash} end)")
     rows = rows.select(*own, F.when(F.col("k").isNotNull(), where).alias("at"))
     covered = F.expr("aggregate(sequence(0, size(at) - 1), 0L, (a, i) -> a + least(3, coalesce(get(at, i + 1) - at[i], 3)))")
     rows = rows.select(*own, F.when(F.size("at") > 0, covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"))
@@ -108,6 +117,9 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality."""
+    """One row for each document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality.
+
+    Repeated rows are judged alike and count as often as they are there; an empty table gives no rows; null and empty texts fail the base.
+    """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("quality") >= 0.5)).alias("kept"), "quality")
