@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import sys
 
 import pandas as pd
@@ -18,29 +17,34 @@ from quarrystone.sources.tables import table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OFFER = T.StructType([T.StructField("n_tools", T.IntegerType()), T.StructField("names", T.ArrayType(T.StringType()))])
-TAGGED = re.compile(r"<tools>\s*(\[.*?\])\s*</tools>", re.S)
+# What announces a tool list.
+MARKER, TAG, END = "Tools:", "<tools>", "</tools>"
+
+
+def value_at(text: str) -> tuple[object, str]:
+    """The JSON value at the start of text and what follows it, both without space around; (None, text) where there is none."""
+    t = text.strip()
+    try:
+        value, end = json.JSONDecoder().raw_decode(t)
+    except (ValueError, RecursionError):
+        return None, t
+    return value, t[end:].strip()
 
 
 def tool_lists(prompt: str | None) -> list[list]:
-    """The lists of a prompt that are strict JSON: what follows the first `Tools:` to the end, and each tagged array."""
-    text, found = prompt or "", []
-    _, marker, tail = text.partition("Tools:")
-    for candidate in ([tail.strip()] if marker else []) + TAGGED.findall(text):
-        try:
-            value = json.loads(candidate)
-        except (ValueError, RecursionError):
-            continue
-        if isinstance(value, list):
-            found.append(value)
-    return found
+    """The lists of a prompt: one that fills all that follows the first marker, and one that fills a tag's content."""
+    text = prompt or ""
+    _, *after = text.split(MARKER, 1)
+    read = [(value, rest == "") for value, rest in map(value_at, after)]
+    read += [(value, rest.startswith(END)) for value, rest in map(value_at, text.split(TAG)[1:])]
+    return [value for value, whole in read if whole and isinstance(value, list)]
 
 
 def _name(tool) -> str | None:
-    if not isinstance(tool, dict):
-        return None
-    inner = tool.get("function")
-    name = tool.get("name") or (inner.get("name") if isinstance(inner, dict) else None)
-    return name if isinstance(name, str) else None
+    """A tool's own name, or that of the function in it."""
+    levels = [tool, tool.get("function")] if isinstance(tool, dict) else []
+    first = next((n for n in (x.get("name") for x in levels if isinstance(x, dict)) if n), None)
+    return first if isinstance(first, str) else None
 
 
 @F.pandas_udf(OFFER)

@@ -19,6 +19,11 @@ GENERATIONS = 8
 _SAMPLES = f"SELECT user_id AS prompt_id, event_id AS gen, event_type AS kind, event_type = 'purchase' AS ok FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= {GENERATIONS}"
 
 
+def first_events(spark: SparkSession, d: str, n: int) -> DataFrame:
+    """The first n events of each user, with their number k."""
+    return table(spark, d, "events").withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where(F.col("k") <= n)
+
+
 def samples(spark: SparkSession, d: str) -> DataFrame:
     """prompt_id, gen, kind, ok: the first generations of each prompt. The limit of the rank is applied before the shuffle too, so a prompt with very many rows costs little."""
     w = Window.partitionBy("user_id").orderBy("event_id")
@@ -98,6 +103,17 @@ def numbered(rows: DataFrame, key: str, name: str = "pos") -> DataFrame:
     return out.withColumn(name, F.col("_off") + F.row_number().over(Window.partitionBy("_cut").orderBy(key)) - 1).drop("_cut", "_off")
 
 
+def numbered_within(rows: DataFrame, by: str, key: str, name: str = "pos") -> DataFrame:
+    """rows with their place, from 0, among those of their group in the order of the hex digest `key`. A group is dealt by the leading digits into 4,096 even parts, so a hot one isn't ranked in one task."""
+    cut = rows.withColumn("_cut", F.substring(key, 1, 3))
+    counts = cut.groupBy(by, "_cut").agg(F.count("*").alias("_n"))
+    offsets = counts.select(F.col(by).alias("_by"), F.col("_cut").alias("_at"), (F.sum("_n").over(Window.partitionBy(by).orderBy("_cut")) - F.col("_n")).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy(by, "_cut").orderBy(key))
+    ranked = cut.withColumn("_k", inside)
+    out = ranked.join(offsets, ranked[by].eqNullSafe(offsets["_by"]) & (ranked["_cut"] == offsets["_at"]))
+    return out.withColumn(name, F.col("_off") + F.col("_k") - 1).drop("_cut", "_off", "_by", "_at", "_k")
+
+
 @query(
     "cyclic_batches",
     f"WITH p AS (SELECT *, row_number() OVER (ORDER BY sha256('batch:' || prompt_id)) - 1 AS pos, count(*) OVER () AS total FROM ({_PROMPTS}) WHERE chosen IS NOT NULL AND rejected IS NOT NULL) "

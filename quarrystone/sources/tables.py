@@ -1,11 +1,20 @@
-"""Sources: Parquet tables, JSON lines in a strict and a tolerant regime, segment chains, pinned payloads."""
+"""Sources and sinks: Parquet tables, JSON lines in a strict and a tolerant regime, segment chains, pinned payloads, runs that are bound once."""
 
 from __future__ import annotations
 
+import json
+import sys
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,11 +25,32 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, stric
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def readable(read: Callable[[], DataFrame], schema: T.StructType) -> DataFrame:
+    """What read gives, or an empty table where the source isn't there."""
+    try:
+        return read()
+    except AnalysisException:
+        return SparkSession.getActiveSession().createDataFrame([], schema)
+
+
+@F.pandas_udf(T.BooleanType())
+def is_object(line: pd.Series) -> pd.Series:
+    """Whether a line is one JSON object and nothing else; the built-in parsers accept text after it."""
+
+    def strict(text: str | None) -> bool:
+        try:
+            return isinstance(json.loads(text or ""), dict)
+        except (ValueError, RecursionError):
+            return False
+
+    return line.map(strict).astype(bool)
+
+
 def torn_tail(lines: DataFrame, order: str = "line_no", text: str = "line") -> DataFrame:
-    """Lines that don't parse, with whether that is allowed: only the last one may be torn."""
+    """Lines that aren't one JSON object, with whether that is allowed: only the last one may be torn. Blank lines don't count."""
     last = lines.agg(F.max(order).alias("_last"))
-    bad = lines.where(F.try_parse_json(text).isNull() & (F.trim(text) != ""))
-    return bad.join(F.broadcast(last)).select(order, text, (F.col(order) == F.col("_last")).alias("allowed"))
+    bad = lines.where((F.trim(text) != "") & ~is_object(text))
+    return bad.join(F.broadcast(last)).select(order, text, (F.col(order) == F.col("_last")).alias("allowed"))  # one row
 
 
 def segment_chain(segments: DataFrame) -> DataFrame:
@@ -38,4 +68,21 @@ def pinned(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
+    """Replaced as a whole by the commit protocol: readers see the old rows or the new."""
     df.write.mode("overwrite").json(path)
+
+
+def append_json_lines(df: DataFrame, path: str) -> None:
+    df.write.mode("append").json(path)
+
+
+def bind_run(fields: DataFrame, path: str) -> DataFrame:
+    """Binds a run to its fields (field, value: texts): the first call writes them, later ones give the fields that differ. Empty where the run is the same."""
+    try:
+        fields.select("field", "value").write.mode("errorifexists").json(path)
+    except AnalysisException as e:
+        if "ALREADY_EXISTS" not in str(e.getCondition()):
+            raise
+    kept = fields.sparkSession.read.schema("field string, value string").json(path)
+    both = kept.select("field", F.col("value").alias("have")).join(fields.select("field", F.col("value").alias("want")), "field", "full")
+    return both.where("not (have <=> want)")

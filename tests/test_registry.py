@@ -1,5 +1,6 @@
 """Queries of the registry against their SQL on the smallest tables, and functions on hard cases."""
 
+import hashlib
 import math
 
 import duckdb
@@ -7,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.functions import text
-from quarrystone.operators import sampling, similarity, stats, toolcalls
+from quarrystone.operators import failures, pool, sampling, similarity, stats, toolcalls
 from quarrystone.plans import registry
+from quarrystone.sources import tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -87,19 +89,116 @@ def test_mcnemar_values(spark):
     assert got == pytest.approx(want, abs=1e-12)
 
 
+CALL = '{"name":"f","arguments":{"a":1}}'
+
+
 @pytest.mark.parametrize(
     ("generation", "target", "want"),
     [
-        ('{"name":"f","arguments":{"a":1}}', '[{"arguments":{"a":1},"name":"f"}]', "accepted"),
-        ('{"name":"f","arguments":{"a":1.0}}', '{"name":"f","arguments":{"a":1}}', "wrong_args"),
+        (CALL, '[{"arguments":{"a":1},"name":"f"}]', "accepted"),
+        ('{"name":"f","arguments":{"a":1.0}}', CALL, "wrong_args"),
+        ('{"name":"f","arguments":{"a":"1"}}', CALL, "wrong_args"),
         ('{"name":"g","arguments":{}}', '{"name":"f","arguments":{}}', "wrong_tool"),
-        ('{"name":"f"', '{"name":"f","arguments":{}}', "invalid_json"),
-        ("no", '{"name":"f","arguments":{}}', "missing_call"),
+        ('{"name":"f"', CALL, "invalid_json"),
+        ("no", CALL, "missing_call"),
         ('{"name":"f"}', "plain text", "spurious_call"),
         ("plain", "text", "accepted"),
-        ("{'name': 'f', 'arguments': {'a': True}}", '{"name":"f","arguments":{"a":true}}', "accepted"),
-        (None, None, "accepted"),
+        ('{"name":', "text", "invalid_json"),
+        ("", "text", "invalid_json"),
+        (f"<tool_call>{CALL}</tool_call>", CALL, "accepted"),
+        (f"so: <tool_call>\\n{CALL}\\n</tool_call> done", CALL, "accepted"),
+        ("<tool_call>{'name': 'f', 'arguments': {'a': 1}}</tool_call>", CALL, "accepted"),
+        ("{'name': 'f', 'arguments': {'a': 1}}", CALL, "invalid_json"),
+        (f"<tool_call>{CALL}</tool_call><tool_call>", CALL, "invalid_json"),
+        (f"</tool_call><tool_call>{CALL}", CALL, "invalid_json"),
+        ("<tool_call></tool_call>", CALL, "invalid_json"),
+        ('<tool_call>{"name":"f","arguments":{1,2}}</tool_call>', CALL, "invalid_json"),
+        ("<tool_call>{'name':'f','arguments':b'x'}</tool_call>", CALL, "invalid_json"),
+        ('{"name":"f"}', '{"name":"f","arguments":null}', "accepted"),
+        ('{"name":"f"}', '{"name":"f","arguments":{}}', "wrong_args"),
+        ('{"name":"f","parameters":{"a":1}}', CALL, "accepted"),
+        (f"[{CALL},7]", CALL, "invalid_json"),
+        ('{"arguments":{"name":"x"}}', CALL, "invalid_json"),
+        (f'[{CALL},{{"name":"g"}}]', f'[{{"name":"g"}},{CALL}]', "accepted"),
+        (f'[{CALL},{CALL}]', f'[{CALL}]', "wrong_tool"),
+        (CALL, "", "target_unreadable"),
+        (None, None, "target_unreadable"),
+        (CALL, '{"name":', "target_unreadable"),
+        (CALL, "[]", "target_unreadable"),
+        (CALL, '{"name":""}', "parser_disagreement"),
+        (CALL, '<tool_call>{"name":""}</tool_call>', "target_unreadable"),
     ],
 )
 def test_verdicts(generation, target, want):
     assert toolcalls.judged(generation, target) == want
+
+
+@pytest.mark.parametrize(
+    ("generation", "chosen", "want"),
+    [
+        ("Sure: [1] " + CALL, CALL, "success"),
+        ('{"name":"f","arguments":{"a":true}}', CALL, "success"),
+        (CALL, "prose", "wrong_args"),
+        ("[7]", CALL, "wrong_tool"),
+        ("prose", CALL, "invalid_json"),
+        ("null", CALL, "invalid_json"),
+        ('{"name":"g"}', CALL, "wrong_tool"),
+        (None, None, "invalid_json"),
+    ],
+)
+def test_failures(generation, chosen, want):
+    assert failures.failure(generation, chosen) == want
+
+
+@pytest.mark.parametrize(("n", "multi", "single", "want"), [(10, 90, 10, (9, 1, None)), (10, 99, 1, (9, 1, None)), (3, 1, 1, (None, None, "stratum_short")), (2, 0, 5, (None, None, "stratum_short")), (1, 5, 5, (None, None, "too_few_prompts")), (5, 0, 0, (None, None, "no_prompts")), (4, 3, 3, (2, 2, None))])
+def test_two_strata(spark, n, multi, single, want):
+    row = spark.createDataFrame([(n, multi, single)], "n long, m long, s long")
+    assert tuple(row.select(pool.two_strata(F.col("n"), F.col("m"), F.col("s")).alias("a")).first().a) == want
+
+
+def test_set_join_meets_all_pairs(spark):
+    """Against all pairs in Python, in one table and between two."""
+    import random
+
+    rng = random.Random(2)
+    base = [rng.sample(range(60), 20) for _ in range(6)]
+    sets = {i: sorted({*(x for x in base[i % 6] if rng.random() < 0.9), *rng.sample(range(60), rng.randrange(4))}) for i in range(60)}
+    sets[60] = []
+    frame = spark.createDataFrame(list(sets.items()), "id long, s array<long>")
+    like = lambda a, b: a and b and 10 * len({*a} & {*b}) >= 7 * len({*a} | {*b})
+    own = {(r.a, r.b): r.common for r in similarity.similar(frame, None, *similarity.at_least(7, 10)).collect()}
+    assert own == {(a, b): len({*sets[a]} & {*sets[b]}) for a in sets for b in sets if a < b and like(sets[a], sets[b])} and len(own) > 50
+    left = frame.where("id < 20")
+    two = {(r.a, r.b) for r in similarity.similar(left, frame, *similarity.at_least(7, 10)).collect()}
+    assert two == {(a, b) for a in range(20) for b in sets if like(sets[a], sets[b])}
+
+
+def test_torn_tail_and_bound_runs(spark, tmp_path):
+    lines = spark.createDataFrame([(1, '{"a": 1}'), (2, '{"a": 1}x'), (3, ""), (4, "[1]"), (5, '{"a": '), (6, '{"a": "}"}')], "line_no long, line string")
+    assert {(r.line_no, r.allowed) for r in tables.torn_tail(lines).collect()} == {(2, False), (4, False), (5, False)}
+    assert {(r.line_no, r.allowed) for r in tables.torn_tail(lines.where("line_no < 6")).collect()} == {(2, False), (4, False), (5, True)}
+    fields = spark.createDataFrame([("seed", "7"), ("pool", None)], "field string, value string")
+    assert tables.bind_run(fields, f"{tmp_path}/run").count() == 0 and tables.bind_run(fields, f"{tmp_path}/run").count() == 0
+    other = spark.createDataFrame([("seed", "8"), ("pool", None)], "field string, value string")
+    assert [tuple(r) for r in tables.bind_run(other, f"{tmp_path}/run").collect()] == [("seed", "7", "8")]
+
+
+def test_json_lines(spark, tmp_path):
+    path = f"{tmp_path}/rows"
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
+    tables.write_json_lines(rows, path)
+    tables.append_json_lines(rows.where("id = 1"), path)
+    assert tables.json_lines(spark, path, rows.schema).count() == 3
+    (tmp_path / "rows" / "part-x.json").write_text('{"id": 3, "t": "c"}\n{"id": \n')
+    assert sorted(r.id for r in tables.json_lines(spark, path, rows.schema, strict=False).collect()) == [1, 1, 2, 3]
+    with pytest.raises(Exception):
+        tables.json_lines(spark, path, rows.schema).collect()
+    assert tables.readable(lambda: spark.read.parquet(f"{tmp_path}/none"), rows.schema).count() == 0
+    blob = tables.pinned(spark, f"{tmp_path}/rows/part-x.json").first()
+    content = (tmp_path / "rows" / "part-x.json").read_bytes()
+    assert blob.sha256 == hashlib.sha256(content).hexdigest() and blob.blob == hashlib.sha1(b"blob %d\0" % len(content) + content).hexdigest()
+
+
+def test_segment_chain(spark):
+    rows = spark.createDataFrame([(0, "a", None), (1, "b", "a"), (3, "c", "b"), (4, "d", "x")], "idx long, sha string, prev_sha string")
+    assert sorted(map(tuple, tables.segment_chain(rows).collect())) == [(3, 1), (4, 3)]
