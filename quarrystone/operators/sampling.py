@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import keyed_hash, set_digest
+from quarrystone.operators.study import numbered_within
 from quarrystone.plans.registry import query
 from quarrystone.sources.tables import table
 
 
 def top_by_hash(rows: DataFrame, by: str, ident: str, seed: str, k: int) -> DataFrame:
-    """The k rows of each stratum with the least keyed hashes; a stratum's candidates are cut to k within each part before they meet."""
-    w = Window.partitionBy(by).orderBy("h", ident)
-    return rows.withColumn("h", keyed_hash(seed, F.col(ident))).withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).drop("h")
+    """The k rows of each stratum with the least keyed hashes, numbered from 1. A hot stratum is ranked in 4,096 parts."""
+    ranked = numbered_within(rows.withColumn("h", keyed_hash(seed, F.col(ident))), by, "h").where(F.col("pos") < k)
+    return ranked.withColumn("k", (F.col("pos") + 1).cast("int")).drop("h", "pos")
 
 
 @query("keyed_topk_per_stratum", "SELECT doc_id, lang, CAST(k AS INTEGER) AS k FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('7:' || doc_id), doc_id) AS k FROM documents) WHERE k <= 10")
@@ -25,9 +26,10 @@ def keyed_topk_per_stratum(spark, d):
 def stratified_holdout(spark, d):
     """A tenth of each stratum."""
     docs = table(spark, d, "documents").select("doc_id", "lang").withColumn("h", keyed_hash("13", F.col("doc_id")))
-    n = docs.groupBy("lang").agg(F.count("*").alias("n"))
-    k = docs.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).join(n, "lang")
-    return k.select("doc_id", "lang", (F.col("k") <= F.floor(F.col("n") / 10)).alias("holdout"))
+    n = docs.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"))
+    ranked = numbered_within(docs, "lang", "h")
+    k = ranked.join(n, ranked["lang"].eqNullSafe(n["l"]))
+    return k.select("doc_id", "lang", (F.col("pos") < F.floor(F.col("n") / 10)).alias("holdout"))
 
 
 def allocated(sizes: DataFrame, total: int) -> DataFrame:
