@@ -24,10 +24,10 @@ UNITS = 8
 #: of their id), of at most so many bytes each.
 TRAIN_EACH, TRAIN_BYTES = 1200, 30_000
 EPOCHS, BATCH, RATE = 10, 128, 0.01
+#: Share of the words of a batch that are known by their trigrams alone.
+DROPPED = 0.5
 #: Few labelled rows give few steps an epoch; then there are more epochs, up to the steps that a full sample makes in EPOCHS.
 LEAST_STEPS = 230
-#: How many missed toxic documents a wrongly rejected clean one weighs where the cut is set.
-CLEAN = 4
 #: Windows that are scored at once, few enough for a step's arrays to stay in a core's cache.
 AT_ONCE = 2048
 
@@ -215,10 +215,10 @@ def window_logits(net: dict, x: np.ndarray, ids: np.ndarray, start: np.ndarray,
     return np.concatenate(out) if out else np.zeros(0, np.float32)
 
 
-def fitted(rows: list[tuple[bytes, int]], seed: int = 5) -> dict[str, np.ndarray]:
+def fitted(rows: list[tuple[bytes, int]], seed: int = 5, clean_weight: float = 1.0) -> dict[str, np.ndarray]:
     """A network fitted to (text, label) rows. A document is as toxic as its worst window: each epoch learns from the
     window that now looks worst in each document, and from one more of each clean document. A fifth of the rows, left out of
-    learning, sets the logit at which the score is one half."""
+    learning, sets the logit at which the score is one half; there a wrongly rejected clean row weighs as clean_weight missed toxic ones."""
     # Rows without a word have no window to learn from.
     rows = [r for r, n in zip(rows, np.diff(W.Words([t for t, _ in rows], W.separators("alnum")).first), strict=True) if n] if rows else rows
     net = new_network(seed)
@@ -258,12 +258,15 @@ def fitted(rows: list[tuple[bytes, int]], seed: int = 5) -> dict[str, np.ndarray
             sizes = np.array([len(s) for s in spans])
             t, b = np.concatenate(spans), np.cumsum(sizes) - sizes
             x, keep = inputs(net, bucket[distinct], t, b), {}
+            # Now and then a word is known by its trigrams alone, so that unseen words of the same make are told too.
+            seen = ((rng.random((len(x), 1)) >= DROPPED) / (1 - DROPPED)).astype(np.float32)
+            x[:, :WIDTH] *= seen
             y = label[doc[own]]
             logit = forward(net, x, local, mask, keep)
             grads = backward(net, x, local, keep, ((_sigmoid(logit) - y) / len(own)).astype(np.float32))
             d_x = grads.pop("x")
             grads["word"], grads["char"] = np.zeros_like(net["word"]), np.zeros_like(net["char"])
-            np.add.at(grads["word"], bucket[distinct], d_x[:, :WIDTH])
+            np.add.at(grads["word"], bucket[distinct], d_x[:, :WIDTH] * seen)
             np.add.at(grads["char"], t, np.repeat(d_x[:, WIDTH:] / np.sqrt(sizes)[:, None], sizes, 0))
             step += 1
             for k, g in grads.items():
@@ -279,10 +282,9 @@ def fitted(rows: list[tuple[bytes, int]], seed: int = 5) -> dict[str, np.ndarray
     values, y = top[own], label[own]
     order = np.argsort(values)
     values, y = values[order], y[order]
-    # Between two neighbours, where the fewest rows are on the wrong side; a clean row counts as CLEAN toxic ones,
-    # since the sample has more toxic ones than the corpus. The middle of the best places.
-    wrong = np.concatenate(([0], np.cumsum(y == 1))) + CLEAN * np.concatenate((np.cumsum((y == 0)[::-1])[::-1], [0]))
-    best = np.flatnonzero(wrong == wrong.min())
+    # Between two neighbours, where the fewest rows are on the wrong side. The middle of the best places.
+    wrong = np.concatenate(([0], np.cumsum(y == 1))) + clean_weight * np.concatenate((np.cumsum((y == 0)[::-1])[::-1], [0]))
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
     at = int(best[len(best) // 2])
     cut = values[0] - 1 if at == 0 else values[-1] + 1 if at == len(values) else (values[at - 1] + values[at]) / 2
     net["cut"] = np.array([1.0, cut], np.float32)
@@ -322,11 +324,16 @@ def trained(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     ids = [r for y in (0, 1) for r in own.where(F.col("toxic") == y).orderBy("_order", "doc_id").limit(TRAIN_EACH).select("doc_id", "toxic").collect()]
     if not ids:
         return fitted([])
+    # A row of the sample stands for as many as its class has for each that was taken.
+    total = {r[0]: r[1] for r in own.groupBy("toxic").count().collect()}
+    stands_for = [total.get(y, 0) / max(1, sum(r[1] == y for r in ids)) for y in (0, 1)]
+    # The root of the classes' ratio lies between counting the sample's rows and counting the corpus's.
+    weight = (stands_for[0] / stands_for[1]) ** 0.5 if min(stands_for) else 1.0
     chosen = docs.sparkSession.createDataFrame([(int(r[0]), int(r[1])) for r in ids], "id long, toxic int")
     own = docs.where(F.octet_length("text") <= TRAIN_BYTES).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
     # One text for each id, that of the least hash, so at most 2 * TRAIN_EACH rows however often an id's rows repeat.
     rows = own.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t")).collect()
-    return fitted([(t.encode(), y) for _, t, y in sorted((r["id"], r["t"], r["toxic"]) for r in rows)])
+    return fitted([(t.encode(), y) for _, t, y in sorted((r["id"], r["t"], r["toxic"]) for r in rows)], clean_weight=weight)
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
@@ -338,14 +345,18 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFra
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, held_out, score, predicted. Null and empty texts get a score of well under one half."""
+    """One row for each document, repeated ones and those without an id too: doc_id, held_out, score, predicted.
+
+    Null and empty texts get a score of well under one half. A long text is scored in all its windows. An empty table gives no rows; without
+    labels of both classes every score is near that of the only class, or of clean.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = toxic_scores(rows, labels, ["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't predicted toxic, with their columns."""
+    """The documents that aren't predicted toxic, with their columns, whatever these are named."""
     short = [f"c{i}" for i in range(len(docs.columns))]
     net = trained(docs.select("doc_id", "text"), labels)
     renamed = docs.select(*(docs[c].alias(s) for c, s in zip(docs.columns, short, strict=True)), docs["text"].cast("string").alias("text"))
