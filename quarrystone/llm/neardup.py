@@ -228,13 +228,15 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     first = split_join(rows, found, "digest", ["_qs_id", "_qs_fp"]).groupBy("component").agg(F.min(F.struct("_qs_id", "_qs_fp", "k")).alias("r"))
     first = stored(first.select("r.*"), "neardup-first")
     gone = rows.select("_qs_id", "_qs_fp").join(first, ["_qs_id", "_qs_fp"], "left_anti")
-    same = lambda other: (known_id(docs["doc_id"]) == other["_qs_id"]) & (F.xxhash64(docs["text"]) == other["_qs_fp"])
-    kept = docs.join(gone, same(gone), "left_anti")
+    # Numbered names keep extra columns clear of the operator's own.
+    short = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.select(*(docs[c].alias(s) for c, s in zip(docs.columns, short, strict=True)), known_id(docs["doc_id"]).alias("_qs_id"), F.xxhash64(docs["text"]).alias("_qs_fp"))
+    kept = own.join(gone, ["_qs_id", "_qs_fp"], "left_anti")
     many = first.where("k > 1").select("_qs_id", "_qs_fp")
-    if many.isEmpty():
-        return kept
-    one = docs.join(many, same(many), "left_semi").withColumn("_qs_id", known_id()).withColumn("_qs_fp", F.xxhash64("text"))
-    return kept.join(many, same(many), "left_anti").unionByName(one.dropDuplicates(["_qs_id", "_qs_fp"]).drop("_qs_id", "_qs_fp"))
+    if not many.isEmpty():
+        one = own.join(many, ["_qs_id", "_qs_fp"], "left_semi").dropDuplicates(["_qs_id", "_qs_fp"])
+        kept = kept.join(many, ["_qs_id", "_qs_fp"], "left_anti").unionByName(one)
+    return kept.select(*(F.col(s).alias(c) for c, s in zip(docs.columns, short, strict=True)))
 
 
 SQL = r"""
