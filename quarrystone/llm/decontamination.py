@@ -27,7 +27,7 @@ WINDOW = 10
 #: Words of a shingle; a window of fewer words is one shingle.
 SHINGLE = 3
 #: The least and the most bits (as powers of two) of the table that tells most absent shingles apart at once. A fuller table lets more pass to the join, which is exact.
-LEAST_BITS, MOST_BITS = 16, 27
+LEAST_BITS, MOST_BITS = 20, 27
 
 
 def shingles(h: np.ndarray, size: int) -> np.ndarray:
@@ -64,7 +64,7 @@ class Sieve:
         """grams: rows of gram, distinct. sizes: how many words the shingles have."""
         spark, n = grams.sparkSession, grams.count()
         self.sizes = sizes
-        self.bits = min(MOST_BITS, max(LEAST_BITS, (32 * n).bit_length()))
+        self.bits = min(MOST_BITS, max(LEAST_BITS, (256 * n).bit_length()))
         slot = F.col("gram").bitwiseAND(F.lit((1 << self.bits) - 1))
         cells = grams.select(F.shiftright(slot, 6).alias("cell"), F.expr(f"shiftleft(1L, cast(gram & {63} as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bit"))
         found = cells.toArrow()  # at most 2 ** (MOST_BITS - 6) rows
