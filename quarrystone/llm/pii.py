@@ -37,7 +37,8 @@ CARD = "|".join((
 ))
 #: kind: pattern, in the order in which they are tried at a place.
 PATTERNS = {"email": EMAIL, "date": DATE, "ip": IP, "phone": PHONE, "ssn": SSN, "card": CARD}
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: All kinds but addresses of mail start with one of three kinds of character, which is tried once before them.
+ANY = f"(?:{EMAIL})|(?=[0-9+(])(?:" + "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email") + ")"
 DATE_FORMATS = (("^[0-9]{4}-", "yyyy-MM-dd"), (r"^[0-9]{2}\.", "dd.MM.yyyy"), ("^[0-9]{2}/", "MM/dd/yyyy"))
 
 
@@ -269,6 +270,6 @@ def pseudonymized(docs: DataFrame, key: str | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("found"))
     rows = rows.select("doc_id", "text", F.transform("found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))).alias("found"))
     rows = rows.select("doc_id", "text", F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("new"))).alias("found"), F.when(F.col("found").isNotNull(), F.split("text", ANY, -1)).alias("between"))
-    merged = F.array_join(F.transform("between", lambda b, i: F.concat(b, F.coalesce(F.get(F.col("found.new"), i), F.lit("")))), "")
+    merged = F.array_join(F.zip_with("between", F.col("found.new"), lambda b, new: F.concat(b, F.coalesce(new, F.lit("")))), "")
     count = lambda k: F.coalesce(F.size(F.filter("found", lambda x: x["kind"] == k)), F.lit(0)).cast("long")
     return rows.select("doc_id", F.when(F.col("found").isNull(), F.col("text")).otherwise(merged).alias("text"), *(F.greatest(count(k), F.lit(0)).alias(f"n_{k}") for k in PATTERNS))
