@@ -130,6 +130,8 @@ def test_pseudonyms_are_those_of_a_plain_feistel_network(spark):
         (f"2024 {c} 1227 {c}", f"2024 {plain_card(c, key)} 1227 {plain_card(c, key)}"),
         (f"{c} {s}", f"{plain_card(c, key)} {plain_card(s, key)}"),
         (f"call {phones[4]} 12 now", f"call {plain_phone(phones[4], key)} 12 now"),
+        (f"at 10.0.0.1, {c} " * 3000, f"at {plain_address('10.0.0.1', key)}, {plain_card(c, key)} " * 3000),
+        (f"x{phones[1]}y({phones[2]})", f"x{plain_phone(phones[1], key)}y({plain_phone(phones[2], key)})"),
         ("b" * 5000 + "@x.com", "b" * 5000 + "@x.com"),
         ("12" * 30_000, "12" * 30_000),
         (None, None),
