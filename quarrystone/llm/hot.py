@@ -17,10 +17,11 @@ def split_join(rows: DataFrame, other: DataFrame, key: str, spread: list[str], h
     """
     if counts is None:
         counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    limit = max(LEAST, (counts.agg(F.sum("n")).first()[0] or 0) // CELLS)
-    hot = counts.where(F.col("n") > limit).select(key, F.expr(f"cast(n div {limit} + 1 as int)")).collect()  # fewer than CELLS rows
-    if not hot:
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = max(LEAST, (total or 0) // CELLS)
+    if (most or 0) <= limit:  # no hot key, so counts are read once
         return rows.join(other, key, how)
+    hot = counts.where(F.col("n") > limit).select(key, F.expr(f"cast(n div {limit} + 1 as int)")).collect()  # fewer than CELLS rows
     spark = rows.sparkSession
     kind = rows.schema[key].dataType.simpleString()
     parts = F.broadcast(spark.createDataFrame([tuple(r) for r in hot], f"_hot {kind}, _parts int"))
