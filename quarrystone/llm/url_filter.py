@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm.hot import split_join
+from quarrystone.llm.store import stored
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (
@@ -74,9 +75,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """
     rules = rule_table(pages.sparkSession) if rules is None else rules
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
-    urls = rows.where("url is not null").select("url").distinct().withColumns(host_and_path(F.col("url")))
-    verdicts = judged(urls, rules)
-    out = split_join(rows, verdicts, "url", ["page_id"], "left").withColumns(host_and_path(F.col("url")))
+    counts = stored(rows.groupBy("url").agg(F.count("*").alias("n")), "url-filter-urls")
+    verdicts = judged(counts.where("url is not null").select("url").withColumns(host_and_path(F.col("url"))), rules)
+    out = split_join(rows, verdicts, "url", ["page_id"], "left", counts=counts).withColumns(host_and_path(F.col("url")))
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT)).alias("verdict"))
 
 
