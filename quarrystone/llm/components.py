@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm.hot import split_join
-from quarrystone.llm.store import stored
+from quarrystone.llm.store import scratch, stored
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -16,16 +16,17 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     shorten as rounds go on; each round's labels are stored. Only whether anything changed comes to the driver.
     A hub, and a label that most of a component has, are dealt to several tasks. No links give no rows.
     """
-    both = links.select(F.col("a").alias("v"), F.col("b").alias("w")).union(links.select("b", "a")).where("v <> w").distinct()
-    both = stored(both, f"{name}-links")
-    labels = stored(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("label")), f"{name}-labels")
-    ends = stored(both.groupBy("w").agg(F.count("*").alias("n")), f"{name}-ends")
-    while True:
-        near = split_join(both, labels.withColumnRenamed("v", "w"), "w", ["v"], counts=ends).groupBy("v").agg(F.min("label").alias("near"))
-        lower = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        lower = stored(lower, f"{name}-near")
-        jump = lower.select(F.col("v").alias("label"), F.col("label").alias("far"))
-        jumped = stored(split_join(lower, jump, "label", ["v"], "left").select("v", "old", F.least("label", F.coalesce("far", "label")).alias("label")), f"{name}-labels")
-        labels = jumped.select("v", "label")
-        if jumped.where("label <> old").isEmpty():
-            return labels
+    with scratch(links.sparkSession) as keep:
+        both = links.select(F.col("a").alias("v"), F.col("b").alias("w")).union(links.select("b", "a")).where("v <> w").distinct()
+        both = stored(both, f"{name}-links")
+        labels = stored(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("label")), f"{name}-labels")
+        ends = stored(both.groupBy("w").agg(F.count("*").alias("n")), f"{name}-ends")
+        while True:
+            near = split_join(both, labels.withColumnRenamed("v", "w"), "w", ["v"], counts=ends).groupBy("v").agg(F.min("label").alias("near"))
+            lower = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+            lower = stored(lower, f"{name}-near")
+            jump = lower.select(F.col("v").alias("label"), F.col("label").alias("far"))
+            jumped = stored(split_join(lower, jump, "label", ["v"], "left").select("v", "old", F.least("label", F.coalesce("far", "label")).alias("label")), f"{name}-labels")
+            labels = jumped.select("v", "label")
+            if jumped.where("label <> old").isEmpty():
+                return keep(labels)

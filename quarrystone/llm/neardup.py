@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarrystone.llm import words as W
 from quarrystone.llm.components import components
 from quarrystone.llm.hot import split_join
-from quarrystone.llm.store import known_id, ship, stored
+from quarrystone.llm.store import known_id, scratch, ship, stored
 
 ship(__name__)
 
@@ -95,11 +95,12 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts' full sets link. texts: v, text. A document with many partners meets them in several tasks."""
-    pairs = stored(pairs.select("a", "b"), "neardup-pairs")
-    right = pairs.join(texts.select(F.col("v").alias("b"), F.col("text").alias("right")), "b")
-    centres = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    both = split_join(right, texts.select(F.col("v").alias("a"), F.col("text").alias("left")), "a", ["b"], counts=centres)
-    return stored(both.select("a", "b", "left", "right").mapInArrow(_confirm, "a long, b long"), "neardup-links")
+    with scratch(texts.sparkSession) as keep:
+        pairs = stored(pairs.select("a", "b"), "neardup-pairs")
+        right = pairs.join(texts.select(F.col("v").alias("b"), F.col("text").alias("right")), "b")
+        centres = pairs.groupBy("a").agg(F.count("*").alias("n"))
+        both = split_join(right, texts.select(F.col("v").alias("a"), F.col("text").alias("left")), "a", ["b"], counts=centres)
+        return keep(stored(both.select("a", "b", "left", "right").mapInArrow(_confirm, "a long, b long"), "neardup-links"))
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +142,22 @@ def prefix_pairs(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _buckets(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, v, n, h) of keys that several of distinct (v, n, bands) have, h being the member of the smallest v; and how often (k) each member b can link with such an a."""
+    with scratch(distinct.sparkSession) as keep:
+        single = distinct.select("v", "n", F.posexplode("bands").alias("i", "value")).withColumn("key", F.xxhash64("i", "value"))
+        shared = stored(single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "neardup-shared")
+        live = split_join(single, shared.select("key"), "key", ["v"], counts=shared).groupBy("v", "n").agg(F.collect_list(F.struct("i", "value")).alias("s"))
+        side = lambda a: F.filter("s", lambda x: (x["i"] < BANDS) == F.lit(a))
+        pairs = F.flatten(F.transform(side(True), lambda a: F.transform(side(False), lambda b: F.xxhash64(a["i"], b["i"], a["value"], b["value"]))))
+        keys = stored(live.select("v", "n", F.explode(pairs).alias("key")), "neardup-keys")
+        heads = stored(keys.groupBy("key").agg(F.min(F.struct("v", "n")).alias("h"), F.max("v").alias("hi"), F.count("*").alias("n")).where("h.v < hi").select("key", "h", "n"), "neardup-heads")
+        keys = stored(split_join(keys, heads.select("key", "h"), "key", ["v"], counts=heads), "neardup-buckets")
+        stars = keys.where(f"v <> h.v and 100 * least(n, h.n) >= {LINK} * greatest(n, h.n)")
+        stars = stored(stars.groupBy(F.col("h.v").alias("a"), F.col("v").alias("b")).agg(F.count("*").alias("k")), "neardup-stars")
+        return keep(keys), keep(stars)
+
+
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents' sets (doc_id, fp, n, digest) and, for each distinct set, its component: digest, component, id (the smallest id in it, null if none has one).
 
@@ -164,17 +181,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         distinct = distinct.join(first, "v").withColumn("v", F.when(F.col("digest") == F.col("first"), F.col("v")).otherwise(other)).drop("first")
     distinct = stored(distinct, "neardup-distinct")
 
-    single = distinct.select("v", "n", F.posexplode("bands").alias("i", "value")).withColumn("key", F.xxhash64("i", "value"))
-    shared = stored(single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "neardup-shared")
-    live = split_join(single, shared.select("key"), "key", ["v"], counts=shared).groupBy("v", "n").agg(F.collect_list(F.struct("i", "value")).alias("s"))
-    side = lambda a: F.filter("s", lambda x: (x["i"] < BANDS) == F.lit(a))
-    pairs = F.flatten(F.transform(side(True), lambda a: F.transform(side(False), lambda b: F.xxhash64(a["i"], b["i"], a["value"], b["value"]))))
-    keys = stored(live.select("v", "n", F.explode(pairs).alias("key")), "neardup-keys")
-    heads = stored(keys.groupBy("key").agg(F.min(F.struct("v", "n")).alias("h"), F.max("v").alias("hi"), F.count("*").alias("n")).where("h.v < hi").select("key", "h", "n"), "neardup-heads")
-    keys = stored(split_join(keys, heads.select("key", "h"), "key", ["v"], counts=heads), "neardup-buckets")
-    stars = keys.where(f"v <> h.v and 100 * least(n, h.n) >= {LINK} * greatest(n, h.n)")
-    stars = stored(stars.groupBy(F.col("h.v").alias("a"), F.col("v").alias("b")).agg(F.count("*").alias("k")), "neardup-stars")
-
+    keys, stars = _buckets(distinct)
     wanted = keys.select("v").distinct().join(distinct.select("v", "fp", "doc_id"), "v")
     text = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_fp"), F.col("text").cast("string").alias("text"))
     texts = wanted.join(text, wanted["doc_id"].eqNullSafe(text["_id"]) & (wanted["fp"] == text["_fp"])).select("v", "text")
@@ -192,9 +199,10 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not more.isEmpty():
         links = links.union(more)
         labels = components(links, "neardup-2")
-    open_ = stored(_mixed(keys.select("key", "v", "n"), labels).select("v").distinct(), "neardup-open")
     tested = rest.union(best.select("a", "b"))
-    found = confirmed(prefix_pairs(texts.join(open_, "v"), labels).join(tested, ["a", "b"], "left_anti"), texts)
+    with scratch(docs.sparkSession) as keep:
+        open_ = stored(_mixed(keys.select("key", "v", "n"), labels).select("v").distinct(), "neardup-open")
+        found = keep(confirmed(prefix_pairs(texts.join(open_, "v"), labels).join(tested, ["a", "b"], "left_anti"), texts))
     if not found.isEmpty():
         labels = components(links.union(found), "neardup-3")
     out = distinct.join(labels, "v", "left").select("digest", "doc_id", F.coalesce("label", "v").alias("component"))
@@ -205,15 +213,16 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept.
+    """One row for each document: doc_id, n_shingles, component_id, kept. Of what was stored on the way, only what the result reads stays.
 
     Documents without words are linked with nothing and kept. A document without an id takes its
     component's smallest id (null if none has one) and is kept only where that is null. Repeated rows are one vertex and judged alike.
     """
-    sets, found = linked(docs)
-    out = split_join(sets.select("doc_id", "fp", "n", "digest"), found, "digest", ["doc_id", "fp"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    with scratch(docs.sparkSession) as keep:
+        sets, found = linked(docs)
+        out = split_join(sets.select("doc_id", "fp", "n", "digest"), found, "digest", ["doc_id", "fp"], "left")
+        component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("id"))
+        return keep(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
@@ -222,12 +231,13 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     Rows are told apart by id and text: of a component the row of the smallest id stays (one without an id only where
     none has one), then of the smallest fingerprint, then any one of equal rows.
     """
-    sets, found = linked(docs)
-    rows = sets.where("n > 0").select(known_id().alias("_qs_id"), F.col("fp").alias("_qs_fp"), "digest")
-    rows = stored(rows.groupBy("_qs_id", "_qs_fp").agg(F.first("digest").alias("digest"), F.count("*").alias("k")), "neardup-rows")
-    first = split_join(rows, found, "digest", ["_qs_id", "_qs_fp"]).groupBy("component").agg(F.min(F.struct("_qs_id", "_qs_fp", "k")).alias("r"))
-    first = stored(first.select("r.*"), "neardup-first")
-    gone = rows.select("_qs_id", "_qs_fp").join(first, ["_qs_id", "_qs_fp"], "left_anti")
+    with scratch(docs.sparkSession) as keep:
+        sets, found = linked(docs)
+        rows = sets.where("n > 0").select(known_id().alias("_qs_id"), F.col("fp").alias("_qs_fp"), "digest")
+        rows = stored(rows.groupBy("_qs_id", "_qs_fp").agg(F.first("digest").alias("digest"), F.count("*").alias("k")), "neardup-rows")
+        first = split_join(rows, found, "digest", ["_qs_id", "_qs_fp"]).groupBy("component").agg(F.min(F.struct("_qs_id", "_qs_fp", "k")).alias("r"))
+        first = keep(stored(first.select("r.*"), "neardup-first"))
+        gone = keep(stored(rows.select("_qs_id", "_qs_fp").join(first, ["_qs_id", "_qs_fp"], "left_anti"), "neardup-gone"))
     # Numbered names keep extra columns clear of the operator's own.
     short = [f"c{i}" for i in range(len(docs.columns))]
     own = docs.select(*(docs[c].alias(s) for c, s in zip(docs.columns, short, strict=True)), known_id(docs["doc_id"]).alias("_qs_id"), F.xxhash64(docs["text"]).alias("_qs_fp"))
