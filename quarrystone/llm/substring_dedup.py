@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm import words as W
 from quarrystone.llm.hot import split_join
-from quarrystone.llm.store import known_id, ship, stored
+from quarrystone.llm.store import known_id, scratch, ship, stored
 
 ship(__name__)
 
@@ -128,34 +128,44 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("fp"))
     schema = "doc_id long, fp long, n_words long, sha string, anchor long, piece binary, q int, n int"
-    found = stored(rows.mapInArrow(_pieces, schema), "substring-pieces")
-    whole = found.where("sha is not null").select(known_id().alias("_id"), "fp", "doc_id", "n_words", "sha")
-    pieces = found.where("piece is not null").select(known_id().alias("_id"), "fp", "anchor", "piece", "q", "n")
-
-    distinct = pieces.groupBy("piece", "anchor").agg(F.min(F.struct("_id", "fp", "q", "n")).alias("at"), F.max("_id").alias("most"), F.count("*").alias("times"))
-    distinct = stored(distinct, "substring-distinct")
-    shared = distinct.groupBy("anchor").agg(F.min("at._id").alias("lo"), F.max("most").alias("hi"), F.count("*").alias("contents")).where("lo < hi").select("anchor", "contents")
-    shared = stored(shared, "substring-anchors")
-    distinct = stored(split_join(distinct, shared, "anchor", ["piece"], counts=shared.withColumnRenamed("contents", "n")), "substring-shared")
-
-    straight = distinct.where("contents = 1").select("piece", F.col("at._id").alias("least"), F.lit(None).cast("array<bigint>").alias("firsts"))
-    branches = distinct.where("contents > 1").select(F.col("at._id").alias("_id"), F.col("at.fp").alias("fp"), F.struct(F.col("at.q").alias("q"), F.col("at.n").alias("n"), "piece", F.col("at._id").alias("least")).alias("x"))
-    wanted = branches.groupBy("_id", "fp").agg(F.collect_list("x").alias("wanted"))
     texts = rows.withColumn("_id", known_id())
-    once = texts.select("_id", "fp", "text")
-    windows = stored(once.join(wanted, ["_id", "fp"]).select("text", "wanted").mapInArrow(_windows, "piece binary, least long, i int, window binary"), "substring-windows")
-    first = windows.groupBy("window").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").select("window", "first")
-    inside = windows.select("piece", "i", "window").distinct().join(first, "window").groupBy("piece").agg(F.map_from_entries(F.collect_list(F.struct("i", "first"))).alias("m"))
-    branched = distinct.where("contents > 1").select("piece", F.col("at._id").alias("least"), F.col("at.n").alias("n")).join(inside, "piece", "left")
-    firsts = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.col("least")))
-    branched = branched.select("piece", "least", F.when(F.col("m").isNotNull(), firsts).alias("firsts"))
-    known = stored(straight.unionByName(branched), "substring-firsts")
-
-    gone = split_join(pieces, known, "piece", ["_id", "fp", "q"], counts=distinct.select("piece", F.col("times").alias("n")))
-    which = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("firsts", i) < F.col("_id"))
-    gone = gone.withColumn("which", F.when(F.col("least") >= F.col("_id"), F.when(F.col("firsts").isNotNull(), which).otherwise(F.array().cast("array<int>"))))
-    gone = gone.where("which is null or size(which) > 0").groupBy("_id", "fp").agg(F.collect_list(F.struct("q", "n", "which")).alias("gone"))
-    return texts, whole, stored(gone, "substring-gone")
+    with scratch(docs.sparkSession) as keep:
+        with scratch(docs.sparkSession) as keep_near:
+            found = stored(rows.mapInArrow(_pieces, schema), "substring-pieces")
+            whole = found.where("sha is not null").select(known_id().alias("_id"), "fp", "doc_id", "n_words", "sha")
+            whole = keep(keep_near(stored(whole, "substring-whole")))
+            pieces = found.where("piece is not null").select(known_id().alias("_id"), "fp", "anchor", "piece", "q", "n")
+            # Most anchors are of one document: what follows reads the pieces of the others only.
+            shared = pieces.groupBy("anchor").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", "n")
+            shared = stored(shared, "substring-anchors")
+            near = split_join(pieces, shared.select("anchor"), "anchor", ["_id", "fp", "q"], counts=shared)
+            pieces = keep_near(stored(near.select("_id", "fp", "anchor", "piece", "q", "n"), "substring-near"))
+
+        distinct = pieces.groupBy("piece", "anchor").agg(F.min(F.struct("_id", "fp", "q", "n")).alias("at"), F.count("*").alias("times"))
+        distinct = stored(distinct, "substring-distinct")
+        contents = stored(distinct.groupBy("anchor").agg(F.count("*").alias("contents")), "substring-contents")
+        distinct = stored(split_join(distinct, contents, "anchor", ["piece"], counts=contents.withColumnRenamed("contents", "n")), "substring-shared")
+
+        straight = distinct.where("contents = 1").select("piece", F.col("at._id").alias("least"), F.lit(None).cast("array<bigint>").alias("firsts"))
+        branches = distinct.where("contents > 1").select(F.col("at._id").alias("_id"), F.col("at.fp").alias("fp"), F.struct(F.col("at.q").alias("q"), F.col("at.n").alias("n"), "piece", F.col("at._id").alias("least")).alias("x"))
+        wanted = branches.groupBy("_id", "fp").agg(F.collect_list("x").alias("wanted"))
+        once = texts.select("_id", "fp", "text")
+        with scratch(docs.sparkSession) as keep_firsts:
+            windows = stored(once.join(wanted, ["_id", "fp"]).select("text", "wanted").mapInArrow(_windows, "piece binary, least long, i int, window binary"), "substring-windows")
+            first = windows.groupBy("window").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").select("window", "first")
+            first = stored(first, "substring-windows-shared")
+            # A row that repeats has its windows read again, so entries are a set.
+            inside = windows.select("piece", "i", "window").join(first, "window").groupBy("piece").agg(F.map_from_entries(F.collect_set(F.struct("i", "first"))).alias("m"))
+            branched = distinct.where("contents > 1").select("piece", F.col("at._id").alias("least"), F.col("at.n").alias("n")).join(inside, "piece", "left")
+            firsts = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.col("least")))
+            branched = branched.select("piece", "least", F.when(F.col("m").isNotNull(), firsts).alias("firsts"))
+            known = keep_firsts(stored(straight.unionByName(branched), "substring-firsts"))
+
+        gone = split_join(pieces.drop("anchor"), known, "piece", ["_id", "fp", "q"], counts=distinct.select("piece", F.col("times").alias("n")))
+        which = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("firsts", i) < F.col("_id"))
+        gone = gone.withColumn("which", F.when(F.col("least") >= F.col("_id"), F.when(F.col("firsts").isNotNull(), which).otherwise(F.array().cast("array<int>"))))
+        gone = gone.where("which is null or size(which) > 0").groupBy("_id", "fp").agg(F.collect_list(F.struct("q", "n", "which")).alias("gone"))
+        return texts, whole, keep(stored(gone, "substring-gone"))
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.llm import neardup, store
+from quarrystone.llm import neardup, store, substring_dedup
 from quarrystone.llm.store import scratch, stored
 
 
@@ -41,3 +41,10 @@ def test_near_duplicates_leave_little_on_disk(spark, sf, folders):
     assert folders() == ["neardup-first", "neardup-gone"]
     want = {r.doc_id for r in neardup.near_duplicates(docs).where("kept").collect()}
     assert {r.doc_id for r in kept.collect()} == want and 0 < len(want) < docs.count()
+
+
+def test_substrings_leave_little_on_disk(spark, sf, folders):
+    """Neither the pieces nor the tables made from them stay."""
+    _, whole, gone = substring_dedup.repeated(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert folders() == ["substring-gone", "substring-whole"]
+    assert whole.count() == spark.read.parquet(f"{sf}/documents.parquet").count() and gone.count() > 0
